@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import array
+import re
 
 ID_BYTES = 4
+#: Characters in which a word's parts (runs of letters, single digits, other runs) can be told
+#: apart before it is put in lower case; without marks that make contractions or special tokens.
+PLAIN = re.compile(r"(?:(?!['|])[\x21-\x7e\u00c0-\u012f\u0131-\u017e])+")
+PARTS = re.compile(r"[^\W\d_]+|[0-9]|[\W_]+")
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -16,15 +21,21 @@ class WordEncoder(dict):
     once they are reached, further words are encoded anew each time.
     """
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache_words = cache_words
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = array.array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
-        out = ids.tobytes()
+        text = word.decode()
+        parts = PARTS.findall(text) if PLAIN.fullmatch(text) else ()
+        if len(parts) > 1:
+            out = b"".join([self[p.encode()] for p in parts])
+        elif parts and (low := text.lower()) != text:
+            out = self[low.encode()]
+        else:
+            out = array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self) < self.cache_words:
             self[word] = out
         return out
