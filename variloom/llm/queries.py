@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, importance, packing, quality_rules, substrings, token_matrix
+from . import decontaminate, importance, neardup, packing, quality_rules, substrings, token_matrix
 from .common import table
 
 
@@ -39,6 +39,11 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_texts", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s["s"], s["e"]))).alias("spans"))
@@ -57,6 +62,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
     "op4_decontamination": op4_decontamination,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_matrix": op9_token_matrix,
     "op10_quality_classifier": op10_quality_classifier,
