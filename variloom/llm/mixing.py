@@ -394,7 +394,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_mod: in
     n_all, v_all = n_words + n_ends, n_kinds + (n_ends > 0)
     top = words.orderBy(F.desc("c"), "h").limit(top_words).toArrow()
     top_h, top_c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy().astype(np.float64)
-    few = slice(0, tree_words)
+    few = np.flatnonzero(top_c[:tree_words] > 1)  # words seen once stand for those never seen: they are spelled
     code = Code.of(top_h[few], top_c[few], float(n_words - top_c[few].sum()), float(n_ends), bytes_.astype(np.float64))
     order = np.argsort(top_h)
     top_h, top_log = top_h[order], np.log10(top_c[order] + 1)

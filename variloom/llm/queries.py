@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, importance, mixing, neardup, packing, pii, quality_rules, substrings, token_matrix
+from . import decontaminate, importance, language, mixing, neardup, packing, pii, quality_rules, substrings, token_matrix
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.score(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "n_texts", (F.col("doc_id") == F.col("class_id")).alias("kept"))
@@ -75,6 +79,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_decontamination": op4_decontamination,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_language_id": op6_language_id,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_matrix": op9_token_matrix,
