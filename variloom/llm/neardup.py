@@ -9,8 +9,7 @@ all rows of a band are candidates, verified by the exact weighted Jaccard simila
 Texts with the same words are one node from the start.  In a bucket, every node is first
 compared with one leader (the node that meets the most others).  Then nodes of one bucket
 that lie in different components so far are compared in blocks: a pair is verified unless
-exact bounds from both nodes' intersections with the leader, or an agreement of their
-samples far below the threshold, rule it out.  No pairs are made of nodes already joined,
+an exact bound, from what each node lacks of the leader and has beyond it, rules it out.  No pairs are made of nodes already joined,
 so large groups of near copies cost about one comparison a node.
 """
 
@@ -36,8 +35,6 @@ class Settings:
     bands: int = 15
     rows: int = 4
     idf_bits: int = 20
-    #: Pairs whose share of equal samples is this far below the threshold are not verified.
-    slack: float = 0.2
     #: Nodes of a block.
     block: int = 256
     seed: int = 11
@@ -151,25 +148,36 @@ def _sign(idf, settings: Settings):
                 value = np.repeat(band_salt[None, :], len(sig), axis=0)
                 for r in range(settings.rows):
                     value = mix(value + sig[:, r :: settings.rows].astype(np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                bands, sigs, z = [None] * len(part), [None] * len(part), [None] * len(part)
+                bands, z = [None] * len(part), [None] * len(part)
                 texts = part.column("text_").to_pylist()
                 for row, d in enumerate(np.flatnonzero(np.diff(s.first))):
-                    bands[d], sigs[d], z[d] = value[row].view(np.int64), sig[row].tobytes(), squeeze.compress(texts[d].encode())
-                yield pa.RecordBatch.from_arrays([part.column("id_"), part.column("k1_"), part.column("k2_"), pa.array(s.n_words), pa.array(s.node, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(z, pa.binary())], names=["id_", "k1_", "k2_", "n_words_", "node_", "bands_", "sig_", "z_"])
+                    bands[d], z[d] = value[row].view(np.int64), squeeze.compress(texts[d].encode())
+                yield pa.RecordBatch.from_arrays([part.column("id_"), part.column("k1_"), part.column("k2_"), pa.array(s.n_words), pa.array(s.node, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(z, pa.binary())], names=["id_", "k1_", "k2_", "n_words_", "node_", "bands_", "z_"])
 
     return run
 
 
-def weighted_overlap(left: Shingles, right: Shingles, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts side by side: weights of both, and of their intersection."""
+GAP = 256
+
+
+def weighted_overlap(left: Shingles, right: Shingles, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For texts side by side: weights of both and of their intersection, and what each has beyond it, in GAP buckets."""
     n = len(left.n_words)
+    doc, h = np.concatenate([left.doc, right.doc]), np.concatenate([left.hash, right.hash])
     wl, wr = weights(left, idf).astype(np.float64), weights(right, idf).astype(np.float64)
-    doc, h, w = np.concatenate([left.doc, right.doc]), np.concatenate([left.hash, right.hash]), np.concatenate([wl, wr])
     order = np.lexsort((h, doc))
-    doc, h, w = doc[order], h[order], w[order]
-    same = np.flatnonzero((h[1:] == h[:-1]) & (doc[1:] == doc[:-1]))
-    both = np.bincount(doc[same], np.minimum(w[same], w[same + 1]), minlength=n)
-    return np.bincount(left.doc, wl, minlength=n), np.bincount(right.doc, wr, minlength=n), both
+    doc_o, h_o = doc[order], h[order]
+    new = np.ones(len(h_o), dtype=bool)
+    new[1:] = (h_o[1:] != h_o[:-1]) | (doc_o[1:] != doc_o[:-1])
+    group = np.empty(len(h_o), dtype=np.int64)
+    group[order] = np.cumsum(new) - 1
+    m = int(new.sum())
+    l_w, r_w = np.bincount(group[: len(wl)], wl, minlength=m), np.bincount(group[len(wl) :], wr, minlength=m)
+    both = np.minimum(l_w, r_w)
+    of = doc_o[new]
+    cell = of * GAP + (h_o[new] >> np.uint64(56)).astype(np.int64)
+    lacks, extra = (np.bincount(cell, w - both, minlength=n * GAP).reshape(n, GAP) for w in (l_w, r_w))
+    return np.bincount(of, l_w, minlength=n), np.bincount(of, r_w, minlength=n), np.bincount(of, both, minlength=n), lacks, extra
 
 
 def _verify(idf, settings: Settings):
@@ -180,29 +188,30 @@ def _verify(idf, settings: Settings):
             for lo in range(0, len(batch), 256):
                 part, open_ = batch.slice(lo, 256), zstandard.ZstdDecompressor()
                 sides = [shingles_of(pa.array([open_.decompress(z).decode() for z in part.column(c).to_pylist()], pa.large_string()), settings.shingle) for c in ("za_", "zb_")]
-                wa, wb, both = weighted_overlap(*sides, idf.value)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(wa), pa.array(wb), pa.array(both)], names=["a", "b", "wa", "wb", "both"])
+                wa, wb, both, lacks, extra = weighted_overlap(*sides, idf.value)
+                # Half precision, rounded so that bounds stay bounds.
+                gap = np.concatenate([lacks * 0.999, extra * 1.001], axis=1).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(wa), pa.array(wb), pa.array(both), pa.array([g.tobytes() for g in gap], pa.binary())], names=["a", "b", "wa", "wb", "both", "gap"])
 
     return run
 
 
 def _compare_blocks(settings: Settings):
     """Pairs of nodes in different components that may reach the threshold; rows come sorted by block pair."""
-    least_equal = settings.threshold - settings.slack
-
     def pairs(rows: list[dict]) -> Iterator[tuple[bytes, bytes]]:
-        sig = np.stack([np.frombuffer(r["sig_"], dtype=np.int32) for r in rows])
+        gap = np.stack([np.frombuffer(r["gap"], dtype=np.float16) if r["gap"] is not None else np.zeros(2 * GAP, np.float16) for r in rows]).astype(np.float32)
+        lacks, extra = gap[:, :GAP], gap[:, GAP:]
         comp = np.unique([r["comp"] for r in rows], return_inverse=True)[1]
         w, inside, own = (np.array([r[c] for r in rows]) for c in ("w", "both", "at"))
-        i, j = rows[0]["i"], rows[0]["j"]
+        i, j, whole = rows[0]["i"], rows[0]["j"], rows[0]["wo"]
         for x in range(len(rows)):
             if own[x] != i:
                 continue
             y = np.arange(x + 1, len(rows)) if i == j else np.flatnonzero(own == j)
             y = y[comp[y] != comp[x]]
-            most = np.minimum(inside[x], inside[y]) + np.minimum(w[x] - inside[x], w[y] - inside[y])
-            y = y[most >= (settings.threshold - 1e-9) * (w[x] + w[y] - most)]
-            y = y[(sig[y] == sig[x]).mean(axis=1) >= least_equal]
+            shared = np.minimum(np.minimum(inside[x], inside[y]), whole - np.maximum(lacks[x], lacks[y]).sum(axis=1))
+            most = shared + np.minimum(extra[x], extra[y]).sum(axis=1)
+            y = y[most * (1 + 1e-5) >= settings.threshold * (w[x] + w[y] - most)]
             for z in y:
                 yield min(rows[x]["node"], rows[z]["node"]), max(rows[x]["node"], rows[z]["node"])
 
@@ -244,7 +253,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     k1, k2 = row_hash(key, text)
     base = docs.select(F.col(key).alias("id_"), k1.alias("k1_"), k2.alias("k2_"), F.col(text).alias("text_"))
     idf = sc.broadcast(idf_table(base, "text_", settings))
-    signed = materialize(base.mapInArrow(_sign(idf, settings), f"id_ {id_type}, k1_ long, k2_ long, n_words_ long, node_ binary, bands_ array<long>, sig_ binary, z_ binary"), "signatures")
+    signed = materialize(base.mapInArrow(_sign(idf, settings), f"id_ {id_type}, k1_ long, k2_ long, n_words_ long, node_ binary, bands_ array<long>, z_ binary"), "signatures")
 
     # One row stands for each node; only nodes that share a bucket go on.
     stand = signed.where("node_ is not null").groupBy(F.col("node_").alias("node")).agg(F.min(F.struct("k1_", "k2_")).alias("k_")).select("node", "k_.*")
@@ -258,13 +267,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     led = materialize(members.join(leaders, "bucket"), "led")
 
     involved = stand.join(led.select("node").distinct(), "node")
-    texts = signed.select("k1_", "k2_", "sig_", "z_").join(involved, ["k1_", "k2_"])
-    texts = materialize(texts.select("node", "sig_", "z_").dropDuplicates(["node"]), "texts")
+    texts = signed.select("k1_", "k2_", "z_").join(involved, ["k1_", "k2_"])
+    texts = materialize(texts.select("node", "z_").dropDuplicates(["node"]), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         z = texts.select("node", "z_")
         put = pairs.join(z.select(F.col("node").alias("a"), F.col("z_").alias("za_")), "a").join(z.select(F.col("node").alias("b"), F.col("z_").alias("zb_")), "b")
-        return materialize(put.select("a", "b", "za_", "zb_").mapInArrow(_verify(idf, settings), "a binary, b binary, wa double, wb double, both double"), "verified")
+        return materialize(put.select("a", "b", "za_", "zb_").mapInArrow(_verify(idf, settings), "a binary, b binary, wa double, wb double, both double, gap binary"), "verified")
 
     linked = F.expr(f"both >= {settings.threshold - 1e-9} * (wa + wb - both)")
     first = verified(led.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
@@ -275,12 +284,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     known = led.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = known.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1 ").select("bucket")
     open_ = known.join(mixed, "bucket").where("n > 2")
-    sizes = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("wb").alias("w"), "both")
-    own = first.select(F.col("a").alias("leader"), F.col("a").alias("node"), F.col("wa").alias("w"), F.col("wa").alias("both")).dropDuplicates(["node"])
-    open_ = open_.join(sizes.unionByName(own), ["leader", "node"]).join(texts.select("node", "sig_"), "node")
+    told = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("wb").alias("w"), "both", F.col("wa").alias("wo"), "gap")
+    own = first.select(F.col("a").alias("leader"), F.col("a").alias("node"), F.col("wa").alias("w"), F.col("wa").alias("both"), F.col("wa").alias("wo"), F.lit(None).cast("binary").alias("gap")).dropDuplicates(["node"])
+    open_ = open_.join(told.unionByName(own), ["leader", "node"])
     blocks = F.ceil(F.col("n") / settings.block).cast("int")
     at = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = open_.withColumns({"at": at, "to": F.explode(F.sequence(F.lit(0), blocks - 1))}).select("bucket", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), "at", "node", "comp", "w", "both", "sig_")
+    dealt = open_.withColumns({"at": at, "to": F.explode(F.sequence(F.lit(0), blocks - 1))}).select("bucket", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), "at", "node", "comp", "w", "both", "wo", "gap")
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = dealt.mapInArrow(_compare_blocks(settings), "a binary, b binary").distinct()
     second = verified(more.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
