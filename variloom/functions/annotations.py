@@ -135,15 +135,22 @@ def contrary(derived: Column, originals: Column, ad_derived: Column, ad_original
     return F.struct(in_derived.alias("derived_count"), share(in_derived, all_derived).alias("derived_share"), in_original.alias("original_count"), share(in_original, all_original).alias("original_share"))
 
 
+def _repeat_run(template: Column, pos: Column, unit: int, most: int) -> Column:
+    """(bases, -unit size, repeats, unit) of the run of one unit from a place."""
+    first = template.substr(pos + 1, F.lit(unit))
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
+
+    def step(run: Column, k: Column) -> Column:
+        on = run["on"] & (template.substr(pos + 1 + k * unit, F.lit(unit)) == first)
+        return F.struct((run["n"] + F.when(on, 1).otherwise(0)).alias("n"), on.alias("on"))
+
+    n = F.aggregate(F.sequence(F.lit(0), F.lit(most - 1)), start, step)["n"]
+    return F.struct((n * unit).alias("bases"), F.lit(-unit).alias("short"), n.alias("repeats"), first.alias("unit"))
+
+
 def tandem_repeats(template: Column, pos: Column, most_unit: int = 3, most: int = 100) -> Column:
     """(repeats, unit) of the simple tandem repeat that runs on from 0-based ``pos``; the best unit of at most three bases."""
-    found = []
-    for unit in range(1, most_unit + 1):
-        first = template.substr(pos + 1, F.lit(unit))
-        step = lambda k, unit=unit, first=first: template.substr(pos + 1 + k * unit, F.lit(unit)) == first
-        run = F.aggregate(F.sequence(F.lit(0), F.lit(most - 1)), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda acc, k, step=step: F.struct((acc["n"] + F.when(acc["on"] & step(k), 1).otherwise(0)).alias("n"), (acc["on"] & step(k)).alias("on")))["n"]
-        found.append(F.struct((run * unit).alias("bases"), (-F.lit(unit)).alias("short"), run.alias("repeats"), first.alias("unit")))
-    best = F.array_max(F.array(*found))
+    best = F.array_max(F.array(*(_repeat_run(template, pos, unit, most) for unit in range(1, most_unit + 1))))
     return F.when(best["repeats"] > 1, F.struct(best["repeats"].alias("repeats"), best["unit"].alias("unit")))
 
 

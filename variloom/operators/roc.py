@@ -137,3 +137,28 @@ def score_column(field: str) -> Column:
     if level == "INFO":
         return F.try_element_at("info", F.lit(name)).try_cast("double")
     return F.try_element_at(F.get("samples", F.lit(0)), F.lit(name)).try_cast("double")
+
+
+def standard_subsets(ref: Column, alts: Column, gt: Column) -> dict[str, Column]:
+    """The usual subsets of calls: all, by zygosity, and by type of the genotype."""
+    from ..functions import alleles as A
+
+    kind = A.genotype_type(ref, alts, gt)
+    return {
+        "ALL": F.lit(True), "HOM": A.is_hom(gt), "HET": A.is_het(gt), "SNP": kind == "SNP", "NON_SNP": kind != "SNP", "MNP": kind == "MNP",
+        "INDEL": kind.isin(*A.INDEL_TYPES),
+    }
+
+
+def format_curve(points: DataFrame, total: int, field: str = "QUAL") -> DataFrame:
+    """A curve as the lines of a table (``place``, ``value``), with totals and column names before it."""
+    head = points.sparkSession.createDataFrame([(-2, f"#total baseline variants: {total}"), (-1, f"#score field: {field}"), (0, "#score\ttrue_positives_baseline\tfalse_positives\ttrue_positives_call")], "place long, value string")
+    rows = points.select((F.col("tp_raw") + F.col("fp") + 1).cast("long").alias("place"), F.concat_ws("\t", F.coalesce(F.format_string("%.3f", "score"), F.lit("None")), F.format_string("%.2f", F.col("tp").cast("double")), F.col("fp").cast("string"), F.col("tp_raw").cast("string")).alias("value"))
+    return head.unionByName(rows).orderBy("place")
+
+
+def summary(points: DataFrame) -> DataFrame:
+    """Two rows: the point of the best F-measure, and all calls (threshold null)."""
+    every = points.agg(F.max_by(F.struct(*points.columns), F.struct("tp_raw", "fp")).alias("p_")).select("p_.*").withColumn("score", F.lit(None).cast("double"))
+    columns = points.columns
+    return best_f_measure(points).select(*columns).unionByName(every.select(*columns))

@@ -76,6 +76,8 @@ def oracle(query: str) -> str:
         query = query.replace("{" + name + "}", name)
     head = ", ".join(f"{name} AS ({duckdb(name)})" for name in used)
     query = query.strip()
+    if not used:
+        return query
     if query.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {head}, {query[15:]}"
     if query.upper().startswith("WITH "):

@@ -451,3 +451,115 @@ def trim_reads(spark, sf):
 def trim_reads_quality(spark, sf):
     df = frame(spark, sf, "reads").withColumn("quals", F.transform(F.sequence(F.lit(1), F.length("residues")), lambda i: (i * 7) % 40))
     return reads.trim(df, start_quality=20, end_quality=20, min_length=3, discard_empty=True).select("seq_id", "residues")
+
+
+# ------------------------------------------------------------------ more filters, annotations and projections
+
+
+
+def _fields(df: DataFrame) -> DataFrame:
+    """Records with INFO, FILTER, QUAL and two samples' fields made of their numbers."""
+    info = F.map_concat(F.create_map(F.lit("DP"), F.col("dp").cast("string")), F.when(F.col("row_id") % 4 == 0, F.create_map(F.lit("X"), F.lit(""))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
+    marks = F.when(F.col("row_id") % 5 == 0, F.array(F.lit("q10"))).when(F.col("row_id") % 5 == 1, F.array(F.lit("PASS"))).otherwise(F.array().cast("array<string>"))
+    one = F.create_map(F.lit("GQ"), F.when(F.col("gq") % 7 == 0, F.lit(".")).otherwise(F.col("gq").cast("string")), F.lit("DP"), F.col("dp").cast("string"), F.lit("DN"), F.when(F.col("dp") % 3 == 0, "Y").otherwise("N"), F.lit("DNP"), F.col("gq").cast("string"))
+    two = F.create_map(F.lit("GQ"), (F.col("gq") + 10).cast("string"), F.lit("DP"), F.lit("."), F.lit("DN"), F.when(F.col("dp") % 4 == 0, "Y").otherwise("N"), F.lit("DNP"), F.lit("."))
+    return df.withColumns({"info": info, "filters": marks, "samples": F.array(one, two), "qual": F.col("gq").cast("double"), "gts": F.array(F.array("g1", "g2"), F.array("g3"))})
+
+
+@query("SELECT row_id FROM {records} WHERE (row_id % 5 = 0 OR row_id % 4 = 0) AND row_id % 5 <> 1")
+def filter_tags(spark, sf):
+    df = _fields(frame(spark, sf, "records"))
+    return df.where(filters.keep_tags(["q10"], ["X"]) & filters.without_filters(["PASS"])).select("row_id")
+
+
+@query("SELECT row_id FROM {records} WHERE row_id % 5 <> 0")
+def filter_passed(spark, sf):
+    return _fields(frame(spark, sf, "records")).where(filters.passed()).select("row_id")
+
+
+@query("SELECT row_id FROM {records} WHERE gq >= 30 AND dp BETWEEN 5 AND 40 AND len(alts) + 1 <= 2 AND (gq % 7 = 0 OR gq >= 25)")
+def filter_ranges(spark, sf):
+    df = _fields(frame(spark, sf, "records"))
+    criteria = {"QUAL": filters.in_range(F.col("qual"), 30), "DP": filters.info_in_range("DP", 5, 40), "ALLELES": filters.allele_count(None, 2), "GQ": filters.samples_in_range("GQ", 25)}
+    return df.where(filters.all_of(criteria)).select("row_id")
+
+
+@query("SELECT row_id FROM {records} WHERE dp > 20 AND gq % 7 <> 0 AND gq <= 50 AND NOT (row_id % 4 = 0)")
+def filter_expressions(spark, sf):
+    df = _fields(frame(spark, sf, "records"))
+    keep = filters.expression("INFO.DP > 20") & filters.expression("GQ <= 50", F.col("samples")[0]) & filters.without_info(["X"])
+    return df.where(keep).select("row_id")
+
+
+@query("SELECT row_id FROM {records} WHERE dp % 3 = 0 AND gq BETWEEN 10 AND 60 AND dp % 4 <> 0")
+def filter_denovo(spark, sf):
+    return _fields(frame(spark, sf, "records")).where(filters.denovo(0, 10, 60)).select("row_id")
+
+
+@query("SELECT row_id FROM {records} WHERE NOT (g1 = g2 AND g1 <= 0) AND NOT (g3 <= 0) AND (g1 > 0 OR g2 > 0 OR g3 > 0)")
+def filter_same_as_ref(spark, sf):
+    return _fields(frame(spark, sf, "records")).where(filters.not_same_as_ref() & filters.some_variant()).select("row_id")
+
+
+@query("SELECT row_id, CASE WHEN dp = 0 THEN 'inf' ELSE CAST(CAST(floor(gq * 1000 / dp) AS BIGINT) AS VARCHAR) END AS qd, CASE WHEN g1 >= 0 AND g2 >= 0 AND dp + gq > 0 THEN CAST(floor(gq * 1000 / (dp + gq)) AS BIGINT) END AS vaf FROM {records}")
+def depth_annotations(spark, sf):
+    df = _fields(frame(spark, sf, "records"))
+    qd = X.qual_over_depth(F.col("qual"), F.col("dp"), F.array().cast("array<int>"))
+    vaf = X.largest_fraction(F.array("dp", "gq"))
+    told = F.when(F.col("g1") < 0, None).when(F.col("g2") < 0, None).otherwise(F.floor(F.round(vaf * 1000, 6)))
+    return df.select("row_id", F.when(qd == float("inf"), "inf").otherwise(F.floor(F.round(qd * 1000, 6)).cast("string")).alias("qd"), told.alias("vaf"))
+
+
+@query("SELECT trio, row_id, CASE WHEN len(child) = 2 AND NOT list_contains(child, -1) THEN CASE WHEN child[1] = child[2] THEN child[1] || '|' || child[2] WHEN p AND NOT q THEN child[1] || '|' || child[2] WHEN q AND NOT p THEN child[2] || '|' || child[1] END END AS phased FROM (SELECT *, list_contains(father, child[1]) AND list_contains(mother, child[2]) AS p, list_contains(father, child[2]) AND list_contains(mother, child[1]) AS q FROM {trios})")
+def child_phasing(spark, sf):
+    df = frame(spark, sf, "trios")
+    return df.select("trio", "row_id", A.join_gt(inheritance.phase_child(F.col("father"), F.col("mother"), F.col("child")), F.lit(True)).alias("phased"))
+
+
+@query(_CURVE + " SELECT c.subset, score, CAST(floor(10000 * tp_raw / (tp_raw + fp)) AS BIGINT) AS precision, CAST(floor(10000 * tp / n) AS BIGINT) AS sensitivity FROM c JOIN (SELECT subset, sum(tp) AS n FROM {calls} GROUP BY subset) t USING (subset) WHERE n > 0")
+def roc_metrics(spark, sf):
+    calls = frame(spark, sf, "calls")
+    totals = calls.groupBy("subset").agg(F.sum("tp").alias("n"))
+    points = roc.metrics(roc.curve(calls, ("subset",)).join(totals, "subset").where("n > 0"), F.col("n"))
+    cut = lambda c: F.floor(F.round(F.col(c) * 10000, 6))
+    return points.select("subset", "score", cut("precision").alias("precision"), cut("sensitivity").alias("sensitivity"))
+
+
+@query("SELECT row_id, 's1' AS sample, g1 || '/' || g2 AS gt FROM {records} WHERE NOT (g1 < 0 AND g2 < 0) AND (g1 > 0 OR g2 > 0) UNION ALL SELECT row_id, 's2', CAST(g3 AS VARCHAR) FROM {records} WHERE g3 > 0")
+def split_samples(spark, sf):
+    df = merging.split_samples(_samples(frame(spark, sf, "records")))
+    return df.select("row_id", "sample", F.array_join(F.transform("gt", lambda a: a.cast("string")), "/").alias("gt"))
+
+
+@query("""
+WITH a AS (SELECT *, row_number() OVER (PARTITION BY seq, start, stop) AS n FROM (SELECT seq, start, stop FROM {loci} WHERE start % 3 < 2)), b AS (SELECT *, row_number() OVER (PARTITION BY seq, start, stop) AS n FROM (SELECT seq, start, stop FROM {loci} WHERE start % 3 > 0))
+SELECT coalesce(a.seq, b.seq) AS seq, coalesce(a.start, b.start) AS start, coalesce(a.stop, b.stop) AS stop, a.seq IS NOT NULL AS in_a, b.seq IS NOT NULL AS in_b FROM a FULL JOIN b ON a.seq = b.seq AND a.start = b.start AND a.stop = b.stop AND a.n = b.n""")
+def interleave_sets(spark, sf):
+    loci = frame(spark, sf, "loci")
+    out = merging.interleave(loci.where("start % 3 < 2"), loci.where("start % 3 > 0"))
+    return _stop(out.select("seq", "start", "end", F.col("a_row").isNotNull().alias("in_a"), F.col("b_row").isNotNull().alias("in_b")))
+
+
+@query("SELECT CAST(row_id AS BIGINT) AS row_id, CAST(list_sum(list_transform([g1, g2, g3], lambda a: CASE WHEN a = 1 THEN 1 ELSE 0 END)) AS INT) AS ones, g1 > 0 OR g2 > 0 AS variant, g1 <> g2 AS het, g1 < 0 AND g2 < 0 AS missing FROM {records}")
+def genotype_predicates(spark, sf):
+    gt = F.array("g1", "g2")
+    df = frame(spark, sf, "records")
+    return df.select("row_id", F.size(F.filter(F.array("g1", "g2", "g3"), lambda a: a == 1)).alias("ones"), A.is_variant(gt).alias("variant"), A.is_het(gt).alias("het"), A.is_missing(gt).alias("missing"))
+
+
+@query("SELECT CAST(min(row_id) AS BIGINT) AS first, len(alts) AS n, count(*) AS rows FROM {records} GROUP BY len(alts)")
+def allele_count_summary(spark, sf):
+    return frame(spark, sf, "records").groupBy(F.size("alts").cast("long").alias("n")).agg(F.min("row_id").alias("first"), F.count("*").alias("rows"))
+
+
+@query("SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
+def grouping_sets(spark, sf):
+    df = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return df.rollup(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("suppliers"))
+
+
+@query("SELECT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, count(*) AS n FROM events GROUP BY ALL")
+def window_tumbling(spark, sf):
+    df = spark.read.parquet(f"{sf}/events.parquet")
+    w = F.window(F.col("ts").cast("timestamp"), "1 hour")
+    return df.groupBy("user_id", w).agg(F.count("*").alias("n")).select("user_id", F.floor(F.unix_timestamp("window.start") / 3600).alias("hour"), "n")

@@ -363,3 +363,44 @@ def template_tiles(sequences: DataFrame, tile: int = 10_000) -> DataFrame:
     n = F.floor((F.length("residues") + tile - 1) / tile).cast("int")
     each = sequences.where(F.length("residues") > 0).withColumn("tile", F.explode(F.sequence(F.lit(0), n - 1)))
     return each.select(F.col("name").alias("seq"), F.col("tile").cast("long").alias("tile"), F.col("residues").substr(F.col("tile") * tile + 1, F.lit(tile)).alias("bases"))
+
+
+def read_sequence_set(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """A sequence set, or the ids [start, end) of it; the range reaches the scan."""
+    df = spark.read.parquet(path)
+    df = df.where(F.col("seq_id") >= start) if start is not None else df
+    return df.where(F.col("seq_id") < end) if end is not None else df
+
+
+def read_reads_table(spark: SparkSession, path: str) -> DataFrame:
+    """Reads of a tab-separated table: name, residues, and qualities if there is a third column; # starts a comment."""
+    c = F.split("value", "\t")
+    rows = spark.read.text(path).where(~F.col("value").rlike(r"^(#|>|\s*$)"))
+    return rows.select(c[0].alias("name"), c[1].alias("residues"), F.when(F.size(c) > 2, decode_quality(F.get(c, F.lit(2)))).alias("quals"))
+
+
+def read_distribution(lines: list[str]) -> dict[str, float]:
+    """Weights by name of a two-column text; they are made to add up to one."""
+    pairs = [(x.split()[1], float(x.split()[0])) for x in lines if x.strip() and not x.startswith("#")]
+    total = sum(w for _, w in pairs)
+    return {name: w / total for name, w in pairs}
+
+
+def read_genetic_map(lines: list[str]) -> list[tuple[int, float]]:
+    """(place, centimorgans) of a table whose first line names its columns."""
+    rows = [x.split() for x in lines if x.strip() and not x.startswith("#")]
+    return [(int(r[0]), float(r[-1])) for r in rows if r[0].isdigit()]
+
+
+def read_properties(lines: list[str]) -> dict[str, str]:
+    """Names and values of a properties text."""
+    pairs = (re.split(r"\s*[=:]\s*", x.strip(), maxsplit=1) for x in lines if x.strip() and x.strip()[0] not in "#!")
+    return {p[0]: p[1] if len(p) > 1 else "" for p in pairs}
+
+
+def taxon_sequences(sequences: DataFrame, names_to_taxa: DataFrame, nodes: DataFrame, taxon: int) -> DataFrame:
+    """Sequences of a taxon or any under it; ``names_to_taxa``: (name, id)."""
+    from ..operators.pedigree import subtree
+
+    wanted = names_to_taxa.join(subtree(nodes, [taxon]).select("id"), "id", "left_semi").select("name").distinct()
+    return sequences.join(wanted, "name", "left_semi")
