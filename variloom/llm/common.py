@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +68,36 @@ def fresh(name: str, taken: list[str]) -> str:
     while name.lower() in low:
         name = "_" + name
     return name
+
+
+#: Rows of an Arrow batch: texts may be long, and a batch is held as a whole.
+BATCH_ROWS = 500
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Have the session send texts to Python in batches of BATCH_ROWS at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def release_memory() -> None:
+    """Give a Python worker's free memory back, as workers live on beside others in an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only some C libraries have it
+        pass
+
+
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` in bounded batches, with memory given back after each partition."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    limit_batches(df.sparkSession)
+    return df.mapInArrow(tidy, schema)

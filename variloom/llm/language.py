@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
 from .words import LOWER, buffers, chunks
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -229,5 +230,5 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         rows = sample.orderBy("draw_", "lang_", "t").limit(2 * rows_per_language * len(counts)).collect()
         net = train([(r["t"], r["lang_"]) for r in rows], window=window)
     shared = spark.sparkContext.broadcast(net)
-    out = base.select("id_", "held_", "text_").mapInArrow(_predict(shared, window), f"id_ {id_type}, held_ boolean, lang_pred string, score double")
+    out = arrow_map(base.select("id_", "held_", "text_"), _predict(shared, window), f"id_ {id_type}, held_ boolean, lang_pred string, score double")
     return out.select(F.col("id_").alias(key), F.col("held_").alias("held_out"), "lang_pred", "score")

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
 from .tokens import ID_BYTES, default_vocabulary, encoder
 
 #: Sequence ids of one partition start at its number times this.
@@ -167,7 +168,7 @@ def packed(df: DataFrame, key: str, limits: Limits, tokenize, can_cut: bool, tex
                         docs.append(last)
         yield from flush()
 
-    return df.select(key, text, *extra).mapInArrow(run, schema)
+    return arrow_map(df.select(key, text, *extra), run, schema)
 
 
 def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 1, limits: Limits = Limits()) -> DataFrame:

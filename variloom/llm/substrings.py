@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_hash
+from .common import arrow_map, materialize, row_hash
 from .words import WORD_BASES, Prefix, chunks, words_of
 
 ANCHOR = "struct<a:int,b:bigint,c:int,s:int,n:int>"
@@ -137,7 +137,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     id_type = docs.schema[key].dataType.simpleString()
     keys = row_hash(key, text)
     base = docs.select(F.col(key).alias("id_"), keys[0].alias("k1_"), keys[1].alias("k2_"), F.col(text).alias("text_"))
-    scanned = materialize(base.mapInArrow(_scan(window, seed), f"id_ {id_type}, k1_ long, k2_ long, n_words_ long, h1_ long, h2_ long, anchors_ array<{ANCHOR}>"), "anchors")
+    scanned = materialize(arrow_map(base, _scan(window, seed), f"id_ {id_type}, k1_ long, k2_ long, n_words_ long, h1_ long, h2_ long, anchors_ array<{ANCHOR}>"), "anchors")
 
     # Documents with the same words: all but the first go as a whole, and only the first is a source.
     same = scanned.where("n_words_ >= %d" % window).groupBy("h1_", "h2_").agg(F.min("id_").alias("first_"), F.count("*").alias("n_")).where("n_ > 1")
@@ -156,11 +156,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     # Windows of the first occurrence of blocks that differ under one anchor.
     edges = met.where("split_ and not coalesce(earlier_, false) and id_ is not null").groupBy("k1_", "k2_").agg(F.collect_set(F.struct("s", "n")).alias("edges_"))
     texts = base.join(edges, ["k1_", "k2_"]).select("id_", "k1_", "k2_", "text_", "edges_")
-    windows = materialize(texts.mapInArrow(_windows(window), f"id_ {id_type}, k1_ long, k2_ long, s int, w1 long, w2 int"), "windows")
+    windows = materialize(arrow_map(texts, _windows(window), f"id_ {id_type}, k1_ long, k2_ long, s int, w1 long, w2 int"), "windows")
     firsts = windows.groupBy("w1", "w2").agg(F.min("id_").alias("first_"), F.max("id_").alias("last_")).where("first_ < last_").drop("last_")
     single = windows.join(firsts, ["w1", "w2"]).where("first_ < id_").select("k1_", "k2_", "s", (F.col("s") + window).alias("e"))
 
     full = copies.select("k1_", "k2_", F.lit(0).alias("s"), F.col("n_words_").cast("int").alias("e"))
     spans = whole.unionByName(single).unionByName(full).groupBy("k1_", "k2_").agg(F.collect_set(F.struct("s", "e")).alias("spans_"))
     cut = base.join(spans, ["k1_", "k2_"], "left").select("id_", "text_", "spans_")
-    return cut.mapInArrow(_cut, f"id_ {id_type}, n_words long, n_removed long, spans array<struct<s:int,e:int>>, kept_text string").withColumnRenamed("id_", key)
+    return arrow_map(cut, _cut, f"id_ {id_type}, n_words long, n_removed long, spans array<struct<s:int,e:int>>, kept_text string").withColumnRenamed("id_", key)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import arrow_map
 from .packing import PARTITION_STRIDE
 from .tokens import ID_BYTES, default_vocabulary, encoder
 
@@ -130,7 +131,7 @@ def pack_matrix(df: DataFrame, key: str = "doc_id", text: str = "text", vocabula
                         yield from flush()
         yield from flush()
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return arrow_map(df.select(key, text), run, schema)
 
 
 def write_matrix(packed: DataFrame, path: str) -> None:

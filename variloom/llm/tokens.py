@@ -21,7 +21,7 @@ class WordEncoder(dict):
     once they are reached, further words are encoded anew each time.
     """
 
-    def __init__(self, path: str, cache_words: int = 600_000):
+    def __init__(self, path: str, cache_words: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -98,7 +98,7 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     return Words(data, start, end, h, np.searchsorted(start, at))
 
 
-def chunks(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes each (a longer text is a range of its own)."""
     _, at = buffers(column)
     i, n = 0, len(column)
