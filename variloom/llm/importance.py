@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_hash
+from .common import arrow_map, materialize, row_hash
 from .words import chunks, mix, words_of
 
 PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -56,21 +56,25 @@ def _count(bits: int):
 
 def bucket_counts(docs: DataFrame, text: str, bits: int) -> np.ndarray:
     """Counts of all n-grams of all rows by bucket: at most 2**bits rows reach the driver."""
-    counted = docs.select(F.col(text).alias("text_")).mapInArrow(_count(bits), "bucket int, n long")
+    counted = arrow_map(docs.select(F.col(text).alias("text_")), _count(bits), "bucket int, n long")
     rows = counted.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << bits, dtype=np.float64)
     out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return out
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray, pseudo: float = 5.0) -> np.ndarray:
+def log_ratio(target: np.ndarray, raw: np.ndarray, least_expected: float = 30.0, least_factor: float = 2.0) -> np.ndarray:
     """log p_target - log p_raw per bucket.
 
-    The target's counts are held against those expected from the raw text, with ``pseudo``
-    n-grams added to both: an n-gram too rare to tell counts as equally likely in both.
+    The target's counts are held against those expected from the raw text, with one n-gram
+    added to both.  Where fewer than ``least_expected`` are expected, or the two differ by less
+    than ``least_factor``, a difference can't be told from chance and from the mix of sources,
+    and both models are taken as equal.
     """
     expected = raw * (target.sum() / max(1.0, raw.sum()))
-    return np.log((target + pseudo) / (expected + pseudo)).astype(np.float32)
+    ratio = np.log((target + 1) / (expected + 1))
+    telling = (np.maximum(expected, target) >= least_expected) & (np.abs(ratio) >= np.log(least_factor))
+    return np.where(telling, ratio, 0).astype(np.float32)
 
 
 def _score(table, bits: int, evidence: float):
@@ -112,26 +116,35 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float |
     return high
 
 
-def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", toxic: str = "toxic", keep: float = 0.8, bits: int = 20, evidence: float = 256.0, target_rows: int = 20_000, seed: int = 17) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", toxic: str = "toxic", keep: float | None = None, cover: float = 0.99, bits: int = 20, evidence: float = 256.0, target_rows: int = 20_000, seed: int = 17) -> DataFrame:
     """One row per row of ``docs``: key, n_grams, log_weight, sample_key, kept.
 
     The target model is fitted on at most ``target_rows`` labelled ids (those with the least
     hashes), good and not toxic in all their labels; the raw model on all rows.  ``keep`` is
-    the share to draw (rows that tie with the last are drawn too).  A text without words has
+    the share to draw (rows that tie with the last are drawn too); unless given, as
+    many are drawn as weigh no less than the lightest hundredth (1 - ``cover``) of a quarter of
+    those labelled rows that is kept out of the fit, and none where there are no such rows.  A text without words has
     weight 0; null keys draw by their text; repeated rows draw alike; an empty table gives
     no rows.
     """
     good = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id_")).agg(F.min(quality).alias("q_"), F.max(toxic).alias("t_")).where("q_ = 1 and coalesce(t_, 0) = 0")
     chosen = good.select("id_").orderBy(F.xxhash64("id_", F.lit(seed)), "id_").limit(target_rows)
+    apart = F.pmod(F.xxhash64("id_", F.lit(seed + 1)), F.lit(4)) == 0
+    fit, held = chosen.where(~apart), chosen.where(apart)
     id_type = docs.schema[key].dataType.simpleString()
     k1, _ = row_hash(key, text)
     base = docs.select(F.col(key).alias("id_"), k1.alias("k1_"), F.col(text).alias("text_"))
     raw = bucket_counts(base, "text_", bits)
-    target = bucket_counts(base.join(F.broadcast(chosen), "id_", "left_semi"), "text_", bits)
+    target = bucket_counts(base.join(F.broadcast(fit), "id_", "left_semi"), "text_", bits)
     table = docs.sparkSession.sparkContext.broadcast(log_ratio(target, raw))
-    scored = base.mapInArrow(_score(table, bits, evidence), f"id_ {id_type}, k1_ long, n_grams long, log_weight double")
+    scored = arrow_map(base, _score(table, bits, evidence), f"id_ {id_type}, k1_ long, n_grams long, log_weight double")
     uniform = (F.xxhash64("k1_", F.lit(seed)).bitwiseAND((1 << 52) - 1) + 0.5) / float(1 << 52)
     drawn = materialize(scored.withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform))), "importance")
-    n = drawn.count()
-    last = kth_largest(drawn, "sample_key", round(keep * n))
+    if keep is None:
+        # The rows held out are at most ``target_rows`` ids, so their exact quantile is one small aggregate.
+        least = drawn.join(F.broadcast(held), "id_", "left_semi").agg(F.percentile("log_weight", 1 - cover)).first()[0]
+        k = drawn.where(F.col("log_weight") >= least).count() if least is not None else 0
+    else:
+        k = round(keep * drawn.count())
+    last = kth_largest(drawn, "sample_key", k)
     return drawn.select(F.col("id_").alias(key), "n_grams", "log_weight", "sample_key", (F.col("sample_key") >= F.lit(last)).alias("kept") if last is not None else F.lit(False).alias("kept"))

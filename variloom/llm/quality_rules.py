@@ -1,12 +1,15 @@
 """Quality rules whose cutoffs come with a bound on false rejection.
 
 A rule rejects a document when its score (a share in thousandths) lies above a cutoff.  The
-cutoffs are chosen on labelled documents: per rule and stratum, from the most lenient cutoff
-to the strictest, each is tested by the exact binomial distribution for a false-rejection
-rate of at most ``risk`` / rules among good documents, and the first that fails ends the
-sequence.  Fixed-sequence testing needs no correction within a rule and stratum; over all
-rules and strata the level ``delta`` is shared out evenly (Bonferroni).  So with probability
-1 - ``delta`` at least, no stratum loses more than ``risk`` of its good documents.
+cutoffs are chosen on labelled documents, per stratum: from the most lenient to the strictest,
+each is tested by the exact binomial distribution for its false-rejection rate among good
+documents, and the first that fails ends the sequence (fixed-sequence testing, which needs no
+correction along it).  One sequence lowers all rules' cutoffs together and has half of the
+``risk`` and of the level ``delta``; one for each rule alone shares the other half, and levels
+are shared over the strata as well (Bonferroni).  So with probability 1 - ``delta`` at least,
+no stratum loses more than ``risk`` of its good documents.  Of the cutoffs that pass, the one
+is taken that rejects most bad documents against good ones (one good weighs ``COST`` bad), the
+more lenient of equals.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, limit_batches, materialize, release_memory
 
 SYMBOLS = b"#*$%&|<>"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -28,6 +31,9 @@ RULES = ("symbols", "capitals", "marks", "dup_lines", "repeats")
 #: Scores are compared in steps of this many thousandths.
 STEP = 20
 TOP = 1000 // STEP
+#: The largest of all scores, for the cutoff that all rules share.
+JOINT = "joint"
+COST = 5
 
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long, n_marks long"
 
@@ -74,6 +80,7 @@ def text_features(text: str | None) -> tuple[int, ...]:
 
 def _features(texts: pd.Series) -> pd.DataFrame:
     rows = np.array([text_features(t) for t in texts], dtype=np.int64).reshape(-1, 8)
+    release_memory()
     return pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")])
 
 
@@ -93,7 +100,8 @@ def scores(f: Column) -> dict[str, Column]:
         return F.least(F.lit(TOP), F.floor(1000 * f[part] / F.greatest(f[whole], F.lit(1)) / STEP)).cast("int")
 
     pairs = (("n_symbols", "word_chars"), ("n_capitals", "word_chars"), ("n_marks", "word_chars"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"))
-    return {rule: share(*pair) for rule, pair in zip(RULES, pairs, strict=True)}
+    each = {rule: share(*pair) for rule, pair in zip(RULES, pairs, strict=True)}
+    return each | {JOINT: F.greatest(*each.values())}
 
 
 def binomial_at_most(k: int, n: int, p: float) -> float:
@@ -128,21 +136,28 @@ class Cutoffs:
         return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 
-def select_cutoffs(counts: list[tuple[str, str, int, int]], risk: float, delta: float) -> Cutoffs:
-    """counts: (stratum, rule, score, good documents with it)."""
+def best_admissible(good: np.ndarray, bad: np.ndarray, risk: float, level: float) -> int:
+    """The most useful cutoff of those that pass in sequence; counts are by score."""
+    n_good, n_bad, best, cutoff = int(good.sum()), int(bad.sum()), 0.0, TOP
+    for c in range(TOP - 1, -1, -1):
+        lost = int(good[c + 1 :].sum())
+        if binomial_at_most(lost, n_good, risk) > level:
+            break
+        gain = int(bad[c + 1 :].sum()) / max(1, n_bad) - COST * lost / max(1, n_good)
+        if gain > best:
+            best, cutoff = gain, c
+    return cutoff
+
+
+def select_cutoffs(counts: list[tuple[str, str, int, int, int]], risk: float, delta: float) -> Cutoffs:
+    """counts: (stratum, rule or JOINT, score, good documents with it, bad ones)."""
     hist: dict[str, dict[str, np.ndarray]] = {}
-    for stratum, rule, score, n in counts:
-        hist.setdefault(stratum, {r: np.zeros(TOP + 1, dtype=np.int64) for r in RULES})[rule][score] += n
-    level, share, out = delta / max(1, len(RULES) * len(hist)), risk / len(RULES), {}
+    for stratum, rule, score, *n in counts:
+        hist.setdefault(stratum, {r: np.zeros((TOP + 1, 2), dtype=np.int64) for r in (*RULES, JOINT)})[rule][score] += n
+    level, out = delta / 2 / max(1, len(hist)), {}
     for stratum, rules in hist.items():
-        out[stratum] = {}
-        for rule, h in rules.items():
-            n, cutoff = int(h.sum()), TOP
-            for c in range(TOP - 1, -1, -1):
-                if binomial_at_most(int(h[c + 1 :].sum()), n, share) > level:
-                    break
-                cutoff = c
-            out[stratum][rule] = cutoff
+        joint = best_admissible(rules[JOINT][:, 0], rules[JOINT][:, 1], risk / 2, level)
+        out[stratum] = {r: min(joint, best_admissible(rules[r][:, 0], rules[r][:, 1], risk / 2 / len(RULES), level / len(RULES))) for r in RULES}
     return Cutoffs(risk, delta, out)
 
 
@@ -151,12 +166,12 @@ def fit_cutoffs(scored: DataFrame, labels: DataFrame, f: str = "f_", stratum: st
 
     Good are the ids whose labels are all 1; null labels and ids don't count.  Rows that fail
     the base are left out, as the rules never judge them.  Only counts per stratum, rule and
-    score reach the driver (at most 51 x 5 rows a stratum).  Without labels, nothing is rejected.
+    score reach the driver (at most 51 x 6 rows a stratum).  Without labels, nothing is rejected.
     """
-    good = labels.where(F.col(quality).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key_")).agg(F.min(quality).alias("good_")).where("good_ = 1").select("key_")
+    told = labels.where(F.col(quality).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key_")).agg((F.min(quality) == 1).alias("good_"))
     used = scored.where(~base_failed(F.col(f))).select(F.col(key).alias("key_"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum_"), *(s.alias(r) for r, s in scores(F.col(f)).items()))
-    rows = used.join(good, "key_").select("stratum_", F.explode(F.create_map(*(x for r in RULES for x in (F.lit(r), F.col(r))))).alias("rule_", "score_"))
-    counts = rows.groupBy("stratum_", "rule_", "score_").count().collect()
+    rows = used.join(told, "key_").select("stratum_", "good_", F.explode(F.create_map(*(x for r in (*RULES, JOINT) for x in (F.lit(r), F.col(r))))).alias("rule_", "score_"))
+    counts = rows.groupBy("stratum_", "rule_", "score_").agg(F.count_if("good_"), F.count_if(~F.col("good_"))).collect()
     return select_cutoffs([tuple(r) for r in counts], risk, delta)
 
 
@@ -166,6 +181,7 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     A null or empty text has no words and fails the base; null strata are one stratum; rows
     repeated are judged each by itself; an empty table gives no rows.
     """
+    limit_batches(docs.sparkSession)
     scored = materialize(docs.select(F.col(key).alias(key), F.col(stratum).alias(stratum), features(F.col(text)).alias("f_")), "quality-features")
     cutoffs = fit_cutoffs(scored, labels, stratum=stratum, key=key, risk=risk, delta=delta)
     f = F.col("f_")
@@ -179,6 +195,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     The counts are taken twice, once to fit and once to filter: writing the texts out
     between would move more than it saves.
     """
+    limit_batches(docs.sparkSession)
     cutoffs = fit_cutoffs(docs.select(F.col(key).alias(key), F.col(stratum).alias(stratum), features(F.col(text)).alias("f_")), labels, stratum=stratum, key=key, risk=risk, delta=delta)
     name = fresh("f_", docs.columns)
     counted = docs.withColumn(name, features(F.col(text)))
