@@ -157,9 +157,20 @@ def test_base_scores(docs, corpus, top):
 def test_code_is_a_prefix_code():
     import numpy as np
 
-    code = X.Code.of(np.array([5, 3, 9], dtype=np.uint64), np.array([10.0, 1, 5]), 2.0, 3.0, np.ones(256))
+    code = X.Code.of(np.array([5, 3, 9, 7], dtype=np.uint64), np.array([10.0, 1, 5, 1]), np.array([True, True, True, False]), 2.0, 3.0, np.ones(256))
     assert sum(2.0 ** -code.length[:5]) == pytest.approx(1) and sum(2.0 ** -code.length[5:]) == pytest.approx(1)
-    assert code.words.tolist() == [3, 5, 9] and code.length[1] <= code.length[0]
+    assert code.lookup.hashes.tolist() == [3, 5, 7, 9] and code.symbol.tolist() == [0, 1, -1, 2] and code.escape == 3 and code.length[1] <= code.length[0]
+
+
+def test_lookup():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    have = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    asked = np.concatenate([have[::3], rng.integers(0, 1 << 63, 5000, dtype=np.uint64), have[:50] + np.uint64(1)])
+    want = [int(np.searchsorted(have, h)) if h in set(have.tolist()) else -1 for h in asked.tolist()]
+    assert X.Lookup(have).find(asked).tolist() == want
+    assert X.Lookup(have[:0]).find(asked).tolist() == [-1] * len(asked)
 
 
 def test_model_predicts_better_than_chance(spark):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_hash
+from .common import arrow_map, materialize, row_hash
 from .words import BYTE_BASE, Words, buffers, chunks, inverse, mix, powers, words_of
 
 END = 0xFF  # a byte that no UTF-8 text has; it ends a spelled word
@@ -35,7 +35,7 @@ END = 0xFF  # a byte that no UTF-8 text has; it ends a spelled word
 BITS = (19, 19)
 GATES = 36
 MAP_STEPS = 48
-SEGMENT = 1 << 15
+SEGMENT = 1 << 12
 BLOCK = 1 << 14
 
 
@@ -65,32 +65,62 @@ def _huffman(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return length, node, bit, sides
 
 
+class Lookup:
+    """Places of hashes in a sorted array, by their first bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.bits = max(8, len(hashes).bit_length() + 1)
+        self.start = np.searchsorted(hashes >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        out = np.full(len(h), -1, dtype=np.int32)
+        if not len(self.hashes):
+            return out
+        first = (h >> np.uint64(64 - self.bits)).astype(np.intp)
+        at, stop = self.start.take(first), self.start.take(first + 1)
+        live = np.flatnonzero(at < stop)
+        at, stop, h = at[live], stop[live], h[live]
+        while len(live):
+            hit = self.hashes.take(at) == h
+            out[live[hit]] = at[hit]
+            at += 1
+            more = ~hit & (at < stop)
+            live, at, stop, h = live[more], at[more], stop[more], h[more]
+        return out
+
+
 @dataclass
 class Code:
-    """Symbols: frequent words in the order of ``words`` (their hashes, sorted), escape, end of text, bytes.
+    """Symbols: frequent words (``symbol`` of a place in ``lookup``, -1 if spelled), escape, end of text, bytes.
 
-    Symbol s is the entries offset[s] to offset[s] + length[s] of node and bit.
+    Symbol s is the entries offset[s] to offset[s] + length[s], each a node and a bit (its lowest).
     """
 
-    words: np.ndarray
+    lookup: Lookup
+    symbol: np.ndarray
+    log_count: np.ndarray
     length: np.ndarray
     offset: np.ndarray
-    node: np.ndarray
-    bit: np.ndarray
+    entry: np.ndarray
     stretch: np.ndarray
 
     @classmethod
-    def of(cls, words: np.ndarray, counts: np.ndarray, rare: float, ends: float, bytes_: np.ndarray) -> "Code":
+    def of(cls, words: np.ndarray, counts: np.ndarray, in_tree: np.ndarray, rare: float, ends: float, bytes_: np.ndarray) -> "Code":
         order = np.argsort(words)
-        n1, node1, bit1, sides1 = _huffman(np.concatenate([counts[order], [rare + 1, ends + 1]]))
+        words, counts, in_tree = words[order], counts[order], in_tree[order]
+        n1, node1, bit1, sides1 = _huffman(np.concatenate([counts[in_tree], [rare + 1, ends + 1]]))
         n2, node2, bit2, sides2 = _huffman(bytes_ + 1)
         length = np.concatenate([n1, n2]).astype(np.int32)
         sides = np.concatenate([sides1, sides2]) + 0.5
-        return cls(words[order], length, (np.cumsum(length) - length).astype(np.int32), np.concatenate([node1, node2 + len(sides1)]).astype(np.int32), np.concatenate([bit1, bit2]), np.log(sides[:, 1] / sides[:, 0]).astype(np.float32))
+        entry = np.concatenate([node1, node2 + len(sides1)]).astype(np.int32) * 2 + np.concatenate([bit1, bit2])
+        symbol = np.where(in_tree, np.cumsum(in_tree) - 1, -1).astype(np.int32)
+        return cls(Lookup(words), symbol, np.log10(counts + 1), length, (np.cumsum(length) - length).astype(np.int32), entry.astype(np.int32), np.log(sides[:, 1] / sides[:, 0]).astype(np.float32))
 
     @property
     def escape(self) -> int:
-        return len(self.words)
+        return len(self.length) - 258
 
 
 @dataclass
@@ -102,13 +132,11 @@ class Symbols:
     first: np.ndarray
 
 
-def symbols_of(words: Words, code: Code) -> Symbols:
+def symbols_of(words: Words, code: Code, found: np.ndarray) -> Symbols:
+    """``found``: the words' places in the code's lookup."""
     n, n_docs = len(words.hash), len(words)
-    if len(code.words):
-        place = np.minimum(np.searchsorted(code.words, words.hash), len(code.words) - 1)
-        known = code.words[place] == words.hash
-    else:
-        place, known = np.zeros(n, np.int64), np.zeros(n, bool)
+    place = np.where(found >= 0, np.append(code.symbol, -1).take(found, mode="wrap"), -1)
+    known = place >= 0
     spelled = np.where(known, 0, words.end - words.start)
     doc = np.repeat(np.arange(n_docs), np.diff(words.first))
     unit = np.arange(n) + doc
@@ -152,23 +180,25 @@ def symbols_of(words: Words, code: Code) -> Symbols:
 
 def decisions(s: Symbols, code: Code) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
     """Some symbols at a time: nodes, slots by predictor, bits, first decision of each text in it, those texts."""
+    count_up = np.arange(32 * SEGMENT, dtype=np.int32)
     for lo in range(0, len(s.symbol), SEGMENT):
         part = s.symbol[lo : lo + SEGMENT]
         n = code.length[part]
         stop = np.cumsum(n, dtype=np.int32)
-        which = np.repeat(np.arange(len(part), dtype=np.int32), n)
-        entry = np.arange(len(which), dtype=np.int32) + (code.offset[part] - stop + n)[which]
-        node = code.node[entry]
+        at = np.repeat(code.offset[part] - stop + n, n)
+        at += count_up[: len(at)] if len(at) <= len(count_up) else np.arange(len(at), dtype=np.int32)
+        entry = code.entry.take(at)
+        node, bit = entry >> 1, (entry & 1).astype(np.uint8)
         salt = node.astype(np.uint32) * np.uint32(0x27D4EB2F)
         slots = []
         for c, b in zip(s.contexts, BITS, strict=True):
-            x = c[lo : lo + SEGMENT][which]
+            x = np.repeat(c[lo : lo + SEGMENT], n)
             x ^= salt
             x *= np.uint32(0x2C1B3C6D)
             x >>= np.uint32(32 - b)
-            slots.append(x.astype(np.int64))
+            slots.append(x.astype(np.intp))
         texts = np.arange(np.searchsorted(s.first, lo, side="right") - 1, np.searchsorted(s.first, min(lo + SEGMENT, len(s.symbol)), side="left"))
-        yield node, slots, code.bit[entry], (stop - n)[np.maximum(s.first[texts] - lo, 0)], texts
+        yield node, slots, bit, (stop - n)[np.maximum(s.first[texts] - lo, 0)], texts
 
 
 class Model:
@@ -184,24 +214,27 @@ class Model:
 
     def refresh(self) -> None:
         """Predictions and confidences from the counts."""
-        self.stretch, self.sure = [], []
-        for c, times in zip(self.counts, (6, 1), strict=True):
+        # One number holds both, so that one look-up gets them: the prediction in steps of
+        # 2**-20, its lowest three bits the confidence.
+        self.told = []
+        for c in self.counts:
             n = c.astype(np.float32)
-            self.stretch.append(np.log((n[:, 1] + np.float32(0.4)) / (n[:, 0] + np.float32(0.4))))
-            self.sure.append(np.minimum(5, np.log2(n.sum(axis=1) + 1) / 2).astype(np.uint8) * np.uint8(times))
+            stretch = np.log((n[:, 1] + np.float32(0.4)) / (n[:, 0] + np.float32(0.4)))
+            sure = np.minimum(5, np.log2(n.sum(axis=1) + 1) / 2).astype(np.int32)
+            self.told.append((stretch * np.float32(1 << 20)).astype(np.int32) & ~7 | sure)
         middle = (np.arange(MAP_STEPS) + 0.5) * 0.375 - 9
         hits = self.map
         p = (hits[:, 1] + 20 / (1 + np.exp(-middle))) / (hits.sum(axis=1) + 20)
         self.corrected = (p - 1 / (1 + np.exp(-middle))).astype(np.float32) / 2
 
     def mix(self, slots: list[np.ndarray], node: np.ndarray):
-        inputs = [self.base[node], *(s[i] for s, i in zip(self.stretch, slots, strict=True))]
-        gate = self.sure[0][slots[0]]
-        gate += self.sure[1][slots[1]]
-        dot = self.weights[0][gate]
+        told = [t.take(i) for t, i in zip(self.told, slots, strict=True)]
+        inputs = [self.base.take(node), *(t * np.float32(2.0**-20) for t in told)]
+        gate = ((told[0] & 7) * 6 + (told[1] & 7)).astype(np.intp)
+        dot = self.weights[0].take(gate)
         dot *= inputs[0]
         for w, x in zip(self.weights[1:], inputs[1:], strict=True):
-            y = w[gate]
+            y = w.take(gate)
             y *= x
             dot += y
         return inputs, gate, dot
@@ -214,7 +247,7 @@ class Model:
     def cost(self, slots, node, bit) -> np.ndarray:
         """-ln of the probability given to each decision."""
         _, _, dot = self.mix(slots, node)
-        fix = self.corrected[self.place(dot)]
+        fix = self.corrected.take(self.place(dot))
         np.negative(dot, out=dot)
         np.exp(dot, out=dot)
         dot += np.float32(1)
@@ -306,12 +339,13 @@ def _train(code):
 
         for batch in batches:
             for lo, hi in chunks(batch.column(0), 1 << 20):
-                s = symbols_of(words_of(batch.column(0).slice(lo, hi - lo), lower=True), code.value)
+                words = words_of(batch.column(0).slice(lo, hi - lo), lower=True)
+                s = symbols_of(words, code.value, code.value.lookup.find(words.hash))
                 for node, slots, bit, _, _ in decisions(s, code.value):
                     model.learn(slots, node, bit, rng)
                     held.append((slots, bit))
                     since += len(bit)
-                    if len(held) == 8:
+                    if len(held) == 64:
                         count()
                 if since > 1 << 23:
                     count()
@@ -338,26 +372,23 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, model, top_h, top_log = shared.value
+        code, model = shared.value
         for batch in batches:
             for lo, hi in chunks(batch.column("text_"), 1 << 20):
                 part = batch.slice(lo, hi - lo)
                 text = part.column("text_")
                 words = words_of(text, lower=True)
-                symbols = symbols_of(words, code)
+                found = code.lookup.find(words.hash)
+                symbols = symbols_of(words, code, found)
                 cost = np.zeros(len(part), dtype=np.float64)
                 for node, slots, bit, first, texts in decisions(symbols, code):
                     if len(texts):
                         np.add.at(cost, texts, np.add.reduceat(model.cost(slots, node, bit), first, dtype=np.float64))
                 n = np.diff(words.first)
                 doc = np.repeat(np.arange(len(n)), n)
-                if len(top_h):
-                    i = np.minimum(np.searchsorted(top_h, words.hash), len(top_h) - 1)
-                    hit = top_h[i] == words.hash
-                    known = np.bincount(doc[hit], minlength=len(n))
-                    logs = np.bincount(doc[hit], top_log[i[hit]], minlength=len(n))
-                else:
-                    hit, known, logs = np.zeros(len(doc), bool), np.zeros(len(n), np.int64), np.zeros(len(n))
+                hit = found >= 0
+                known = np.bincount(doc[hit], minlength=len(n))
+                logs = np.bincount(doc[hit], code.log_count[found[hit]], minlength=len(n)).astype(np.float64)
                 rest = words.hash[~hit].view(np.int64)
                 places = np.concatenate([[0], np.cumsum(np.bincount(doc[~hit], minlength=len(n)))]).astype(np.int32)
                 rare = pa.ListArray.from_arrays(pa.array(places), pa.array(rest))
@@ -383,7 +414,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_mod: in
     base = docs.select(F.col(key).alias("id_"), k1.alias("k1_"), k2.alias("k2_"), held.alias("held_"), F.coalesce(F.col(text), F.lit("")).alias("text_"))
     training = base.where("not held_").select("text_")
 
-    gathered = training.mapInArrow(_gather, "kind byte, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
+    gathered = arrow_map(training, _gather, "kind byte, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
     gathered = materialize(gathered, "counts")
     bytes_ = np.zeros(256, dtype=np.int64)
     for r in gathered.where("kind = 1").collect():
@@ -394,18 +425,17 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_mod: in
     n_all, v_all = n_words + n_ends, n_kinds + (n_ends > 0)
     top = words.orderBy(F.desc("c"), "h").limit(top_words).toArrow()
     top_h, top_c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy().astype(np.float64)
-    few = np.flatnonzero(top_c[:tree_words] > 1)  # words seen once stand for those never seen: they are spelled
-    code = Code.of(top_h[few], top_c[few], float(n_words - top_c[few].sum()), float(n_ends), bytes_.astype(np.float64))
-    order = np.argsort(top_h)
-    top_h, top_log = top_h[order], np.log10(top_c[order] + 1)
+    # Words seen once stand for those never seen: they are spelled.
+    in_tree = (top_c > 1) & (np.arange(len(top_c)) < tree_words)
+    code = Code.of(top_h, top_c, in_tree, float(n_words - top_c[in_tree].sum()), float(n_ends), bytes_.astype(np.float64))
 
     shared_code = spark.sparkContext.broadcast(code)
-    parts = training.mapInArrow(_train(shared_code), "block int, part binary").repartition(16, "block").mapInArrow(_add, "block int, part binary")
+    parts = arrow_map(arrow_map(training, _train(shared_code), "block int, part binary").repartition(16, "block"), _add, "block int, part binary")
     model = Model.join(code, {r["block"]: np.frombuffer(r["part"], dtype="<f8") for r in parts.toLocalIterator()})
     model.counts = []  # what scoring needs is derived from them
-    shared = spark.sparkContext.broadcast((code, model, top_h, top_log))
+    shared = spark.sparkContext.broadcast((code, model))
 
-    scored = base.mapInArrow(_score(shared), f"id_ {id_type}, k1_ long, k2_ long, held_ boolean, n_tokens long, known_ long, logs_ double, rare_ array<long>, n_bytes long, score double")
+    scored = arrow_map(base, _score(shared), f"id_ {id_type}, k1_ long, k2_ long, held_ boolean, n_tokens long, known_ long, logs_ double, rare_ array<long>, n_bytes long, score double")
     scored = materialize(scored, "scored")
     rare = scored.select("k1_", "k2_", "rare_").dropDuplicates(["k1_", "k2_"]).select("k1_", "k2_", F.explode("rare_").alias("h"))
     found = rare.join(words, "h").groupBy("k1_", "k2_").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("rare_logs"))
