@@ -1,7 +1,7 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are runs of five words (a shorter text is one shingle), in lower case; a shingle
-weighs its count in the text times an inverse document frequency, which is counted over all
+weighs its count in the text times a damped inverse document frequency, counted over all
 documents in ``2**idf_bits`` hashed buckets.  ``bands`` x ``rows`` samples are drawn per text, so that two
 samples agree with the probability of the weighted Jaccard similarity; texts that agree in
 all rows of a band are candidates, verified by the exact weighted Jaccard similarity.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_hash
+from .common import arrow_map, materialize, row_hash
 from .components import components
 from .words import WORD_BASES, Prefix, chunks, mix, words_of
 
@@ -35,6 +35,10 @@ class Settings:
     bands: int = 15
     rows: int = 4
     idf_bits: int = 20
+    #: Share of the logarithm in a shingle's weight, 1 + share * ln(..).  Were it larger, the
+    #: shingles that a large group of copies has in common would weigh far less than the few
+    #: in which its copies differ, and the group would come apart.
+    idf_share: float = 0.05
     #: Nodes of a block.
     block: int = 256
     seed: int = 11
@@ -89,12 +93,12 @@ def _frequencies(bits: int, k: int):
 
 
 def idf_table(docs: DataFrame, text: str, settings: Settings) -> np.ndarray:
-    """ln(1 + documents / (1 + documents with the bucket)), for each bucket; at most 2**idf_bits + 1 rows reach the driver."""
-    counted = docs.select(F.col(text).alias("text_")).mapInArrow(_frequencies(settings.idf_bits, settings.shingle), "bucket int, n long")
+    """1 + idf_share * ln(1 + documents / (1 + documents with the bucket)), for each bucket; at most 2**idf_bits + 1 rows reach the driver."""
+    counted = arrow_map(docs.select(F.col(text).alias("text_")), _frequencies(settings.idf_bits, settings.shingle), "bucket int, n long")
     rows = counted.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros((1 << settings.idf_bits) + 1)
     total[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return np.log1p(total[-1] / (1 + total[:-1])).astype(np.float32)
+    return (1 + settings.idf_share * np.log1p(total[-1] / (1 + total[:-1]))).astype(np.float32)
 
 
 def weights(s: Shingles, idf: np.ndarray) -> np.ndarray:
@@ -253,7 +257,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     k1, k2 = row_hash(key, text)
     base = docs.select(F.col(key).alias("id_"), k1.alias("k1_"), k2.alias("k2_"), F.col(text).alias("text_"))
     idf = sc.broadcast(idf_table(base, "text_", settings))
-    signed = materialize(base.mapInArrow(_sign(idf, settings), f"id_ {id_type}, k1_ long, k2_ long, n_words_ long, node_ binary, bands_ array<long>, z_ binary"), "signatures")
+    signed = materialize(arrow_map(base, _sign(idf, settings), f"id_ {id_type}, k1_ long, k2_ long, n_words_ long, node_ binary, bands_ array<long>, z_ binary"), "signatures")
 
     # One row stands for each node; only nodes that share a bucket go on.
     stand = signed.where("node_ is not null").groupBy(F.col("node_").alias("node")).agg(F.min(F.struct("k1_", "k2_")).alias("k_")).select("node", "k_.*")
@@ -273,7 +277,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     def verified(pairs: DataFrame) -> DataFrame:
         z = texts.select("node", "z_")
         put = pairs.join(z.select(F.col("node").alias("a"), F.col("z_").alias("za_")), "a").join(z.select(F.col("node").alias("b"), F.col("z_").alias("zb_")), "b")
-        return materialize(put.select("a", "b", "za_", "zb_").mapInArrow(_verify(idf, settings), "a binary, b binary, wa double, wb double, both double, gap binary"), "verified")
+        return materialize(arrow_map(put.select("a", "b", "za_", "zb_"), _verify(idf, settings), "a binary, b binary, wa double, wb double, both double, gap binary"), "verified")
 
     linked = F.expr(f"both >= {settings.threshold - 1e-9} * (wa + wb - both)")
     first = verified(led.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
@@ -291,7 +295,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     at = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = open_.withColumns({"at": at, "to": F.explode(F.sequence(F.lit(0), blocks - 1))}).select("bucket", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), "at", "node", "comp", "w", "both", "wo", "gap")
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = dealt.mapInArrow(_compare_blocks(settings), "a binary, b binary").distinct()
+    more = arrow_map(dealt, _compare_blocks(settings), "a binary, b binary").distinct()
     second = verified(more.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     links = links.unionByName(second.where(linked).select("a", "b"))
     comp = components(links)
