@@ -430,7 +430,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_mod: in
     code = Code.of(top_h, top_c, in_tree, float(n_words - top_c[in_tree].sum()), float(n_ends), bytes_.astype(np.float64))
 
     shared_code = spark.sparkContext.broadcast(code)
-    parts = arrow_map(arrow_map(training, _train(shared_code), "block int, part binary").repartition(16, "block"), _add, "block int, part binary")
+    parts = arrow_map(arrow_map(training, _train(shared_code), "block int, part binary").repartition(64, "block"), _add, "block int, part binary")
     model = Model.join(code, {r["block"]: np.frombuffer(r["part"], dtype="<f8") for r in parts.toLocalIterator()})
     model.counts = []  # what scoring needs is derived from them
     shared = spark.sparkContext.broadcast((code, model))
