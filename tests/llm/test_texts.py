@@ -184,6 +184,19 @@ def test_model_predicts_better_than_chance(spark):
     assert sum(r["score"] for r in held) > 0.98 * sum(r["base_score"] for r in held) * 1.05
 
 
+def test_every_decision_is_learned_from():
+    import numpy as np
+
+    code = X.Code.of(np.array([5, 3, 9], dtype=np.uint64), np.array([10.0, 4, 5]), np.ones(3, bool), 2.0, 3.0, np.ones(256))
+    model, rng = X.Model(code), np.random.default_rng(1)
+    slots, bit = [rng.integers(0, 1 << 10, 1000).astype(np.intp) for _ in range(2)], rng.integers(0, 2, 1000).astype(np.uint8)
+    model.learn(slots, np.zeros(1000, np.int32), bit)
+    assert model.map.sum(axis=0).tolist() == [(bit == 0).sum(), (bit == 1).sum()] and model.seen == 1000
+    # The unigram weight's step is the mean gradient over all thousand.
+    x = float(code.stretch[0])
+    assert model.weights[0][0] == pytest.approx(1 + 0.3 * (bit.mean() - 1 / (1 + math.exp(-x))) * x, abs=1e-5)
+
+
 def test_nothing_to_learn_from(spark, empty):
     k = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = X.score(spark.createDataFrame([(k, "Some text")], "doc_id long, text string")).first()

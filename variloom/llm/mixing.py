@@ -10,8 +10,8 @@ weights that a gate chooses (how often the two contexts have been seen), and an
 corrects the sum by its size.
 
 Training is online within each input partition: a stretch of text is predicted from what came
-before it there, weights and map are updated by the errors (weights by gradient steps on a
-random eighth of the decisions), then the stretch is counted.  Tables of all partitions are
+before it there, weights and map are updated by all its decisions (weights by gradient steps),
+then the stretch is counted.  Tables of all partitions are
 added up, weights averaged by decisions.  All counts cover all training texts; the tables'
 sizes are fixed, so what is broadcast is bounded whatever the corpus.
 """
@@ -259,17 +259,24 @@ class Model:
         np.log(dot, out=dot)
         return dot
 
-    def learn(self, slots, node, bit, rng) -> None:
-        some = slice(int(rng.integers(0, min(8, len(bit)))), None, 8)
-        few, bit = [s[some] for s in slots], bit[some]
-        inputs, gate, dot = self.mix(few, node[some])
-        error = bit - 1 / (1 + np.exp(-dot))
+    def learn(self, slots, node, bit) -> None:
+        """Steps of weights and map by all decisions given."""
+        inputs, gate, dot = self.mix(slots, node)
+        place = self.place(dot).astype(np.intp)
+        place <<= 1
+        place += bit
+        self.map += np.bincount(place, minlength=2 * MAP_STEPS).reshape(-1, 2)
+        np.negative(dot, out=dot)
+        np.exp(dot, out=dot)
+        dot += np.float32(1)
+        np.reciprocal(dot, out=dot)
+        error = np.subtract(bit, dot, out=dot)
         seen = np.bincount(gate, minlength=GATES)
-        rate = 0.3 * np.minimum(1, seen / 50) / np.maximum(seen, 1) / (1 + self.seen / 1e7)
+        rate = 0.3 * np.minimum(1, seen / 50) / np.maximum(seen, 1) / (1 + self.seen / 8e7)
         for w, x in zip(self.weights, inputs, strict=True):
-            w += (rate * np.bincount(gate, error * x, minlength=GATES)).astype(np.float32)
-        self.map += np.bincount(self.place(dot) * np.int64(2) + bit, minlength=2 * MAP_STEPS).reshape(-1, 2)
-        self.seen += len(error)
+            x *= error
+            w += (rate * np.bincount(gate, x, minlength=GATES)).astype(np.float32)
+        self.seen += len(bit)
 
     def count(self, slots, bit) -> None:
         for c, i in zip(self.counts, slots, strict=True):
@@ -329,7 +336,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _train(code):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, rng, since = Model(code.value), np.random.default_rng(5), 0
+        model, since = Model(code.value), 0
         held: list = []
 
         def count():
@@ -342,7 +349,7 @@ def _train(code):
                 words = words_of(batch.column(0).slice(lo, hi - lo), lower=True)
                 s = symbols_of(words, code.value, code.value.lookup.find(words.hash))
                 for node, slots, bit, _, _ in decisions(s, code.value):
-                    model.learn(slots, node, bit, rng)
+                    model.learn(slots, node, bit)
                     held.append((slots, bit))
                     since += len(bit)
                     if len(held) == 64:
