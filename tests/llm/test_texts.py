@@ -191,12 +191,36 @@ def test_every_decision_is_learned_from():
     model, rng = X.Model(code), np.random.default_rng(1)
     slots, bit = [rng.integers(0, 1 << 10, 1000).astype(np.intp) for _ in range(2)], rng.integers(0, 2, 1000).astype(np.uint8)
     model.learn(slots, np.zeros(1000, np.int32), bit)
-    assert model.map.sum(axis=0).tolist() == [(bit == 0).sum(), (bit == 1).sum()] and model.seen == 1000
+    assert model.map.sum(axis=0).tolist() == [(bit == 0).sum(), (bit == 1).sum()] and model.seen.sum() == 1000
     # The unigram weight's step is the mean gradient over all thousand.
     x = float(code.stretch[0])
     assert model.weights[0][0] == pytest.approx(1 + 0.3 * (bit.mean() - 1 / (1 + math.exp(-x))) * x, abs=1e-5)
 
 
+def test_small_partitions_train_the_context_weights():
+    import numpy as np
+
+    code = X.Code.of(np.array([5, 3, 9], dtype=np.uint64), np.array([10.0, 4, 5]), np.ones(3, bool), 2.0, 3.0, np.ones(256))
+    trainer, rng = X.Trainer(code), np.random.default_rng(1)
+    # The shorter context tells the bit, the longer one nothing; 40,000 decisions in all.
+    for _ in range(10):
+        bit = rng.integers(0, 2, 4000).astype(np.uint8)
+        slots = [(rng.integers(0, 50, 4000) * 2 + (bit ^ (rng.random(4000) < 0.1))).astype(np.intp), rng.integers(0, 100, 4000).astype(np.intp)]
+        trainer.add(np.zeros(4000, np.int32), slots, bit)
+    model = trainer.end()
+    assert [int(c.sum()) for c in model.counts] == [40_000, 40_000] and model.seen.sum() == 40_000
+    trained = model.seen > 0
+    assert trained.sum() > 3 and trained.argmax() == 0
+    busy = model.seen.argmax()
+    assert model.weights[1][busy] > 0.15 and model.weights[1][busy] > 2 * model.weights[2][busy]
+    # Weights of gates never used stay as they were, whatever the partitions.
+    blocks = {}
+    for k, part in model.parts():
+        blocks[k] = np.frombuffer(part, dtype="<f8")
+    joined = X.Model.join(code, blocks)
+    assert np.allclose(joined.weights[1], model.weights[1], atol=1e-6) and joined.map.tolist() == model.map.tolist()
+
+
 def test_nothing_to_learn_from(spark, empty):
     k = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = X.score(spark.createDataFrame([(k, "Some text")], "doc_id long, text string")).first()

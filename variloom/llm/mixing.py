@@ -11,8 +11,9 @@ corrects the sum by its size.
 
 Training is online within each input partition: a stretch of text is predicted from what came
 before it there, weights and map are updated by all its decisions (weights by gradient steps),
-then the stretch is counted.  Tables of all partitions are
-added up, weights averaged by decisions.  All counts cover all training texts; the tables'
+then the stretch is counted.  Predictions are renewed from the counts whenever these have doubled
+(past STEP decisions: every STEP), so that small partitions learn too.  Tables of all partitions
+are added up, weights averaged by the decisions of their gate.  All counts cover all training texts; the tables'
 sizes are fixed, so what is broadcast is bounded whatever the corpus.
 """
 
@@ -37,6 +38,8 @@ GATES = 36
 MAP_STEPS = 48
 SEGMENT = 1 << 12
 BLOCK = 1 << 14
+#: Decisions before predictions are first made from the counts, and the most from one renewal to the next.
+FIRST, STEP = 1 << 10, 1 << 23
 
 
 def _huffman(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -209,7 +212,7 @@ class Model:
         self.counts = [np.zeros((1 << b, 2), dtype=np.uint32) for b in BITS]
         self.weights = [np.full(GATES, w, dtype=np.float32) for w in (1.0, 0.1, 0.1)]
         self.map = np.zeros((MAP_STEPS, 2), dtype=np.float64)
-        self.seen = 0.0
+        self.seen = np.zeros(GATES)
         self.refresh()
 
     def refresh(self) -> None:
@@ -272,11 +275,11 @@ class Model:
         np.reciprocal(dot, out=dot)
         error = np.subtract(bit, dot, out=dot)
         seen = np.bincount(gate, minlength=GATES)
-        rate = 0.3 * np.minimum(1, seen / 50) / np.maximum(seen, 1) / (1 + self.seen / 8e7)
+        rate = 0.3 * np.minimum(1, seen / 50) / np.maximum(seen, 1) / (1 + self.seen.sum() / 8e7)
         for w, x in zip(self.weights, inputs, strict=True):
             x *= error
             w += (rate * np.bincount(gate, x, minlength=GATES)).astype(np.float32)
-        self.seen += len(bit)
+        self.seen += seen
 
     def count(self, slots, bit) -> None:
         for c, i in zip(self.counts, slots, strict=True):
@@ -286,7 +289,7 @@ class Model:
 
     def parts(self) -> Iterator[tuple[int, bytes]]:
         """Blocks of numbers that add up over partitions."""
-        every = np.concatenate([*(c.ravel() for c in self.counts), *(w * self.seen for w in self.weights), self.map.ravel(), [self.seen]])
+        every = np.concatenate([*(c.ravel() for c in self.counts), *(w * self.seen for w in self.weights), self.seen, self.map.ravel()])
         for i in range(0, len(every), BLOCK):
             yield i // BLOCK, every[i : i + BLOCK].astype("<f8").tobytes()
 
@@ -298,15 +301,49 @@ class Model:
             for c in out.counts:
                 c[:] = every[at : at + c.size].reshape(-1, 2)
                 at += c.size
-            out.seen = every[-1]
-            for w in out.weights:
-                w[:] = every[at : at + GATES] / out.seen
-                at += GATES
-            out.map = every[at:-1].reshape(out.map.shape)
+            sums, out.seen = every[at : at + 3 * GATES].reshape(3, GATES), every[at + 3 * GATES : at + 4 * GATES]
+            for w, x in zip(out.weights, sums, strict=True):
+                np.divide(x, out.seen, out=w, where=out.seen > 0, casting="same_kind")
+            out.map = every[at + 4 * GATES :].reshape(out.map.shape)
             out.refresh()
         return out
 
 
+class Trainer:
+    """Learns from decisions in their order, and counts them."""
+
+    def __init__(self, code: Code):
+        self.model = Model(code)
+        self.held: list = []
+        self.since, self.due, self.counted = 0, FIRST, 0
+
+    def add(self, node, slots, bit) -> None:
+        at = 0
+        while at < len(bit):
+            part = slice(at, min(len(bit), at + self.due - self.since))
+            mine = [s[part] for s in slots]
+            self.model.learn(mine, node[part], bit[part])
+            self.held.append((mine, bit[part]))
+            self.since += part.stop - at
+            at = part.stop
+            if self.since == self.due:
+                self.count()
+                self.model.refresh()
+                self.counted += self.due
+                self.since, self.due = 0, min(self.counted, STEP)
+            elif len(self.held) == 64:
+                self.count()
+
+    def count(self) -> None:
+        if self.held:
+            self.model.count([np.concatenate([h[0][k] for h in self.held]) for k in range(len(BITS))], np.concatenate([h[1] for h in self.held]))
+            self.held.clear()
+
+    def end(self) -> Model:
+        self.count()
+        return self.model
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words by hash (kind 0), and of bytes and end symbols (kind 1)."""
     held, n_held, bytes_, ends = [], 0, np.zeros(256, dtype=np.int64), 0
@@ -336,30 +373,15 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _train(code):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, since = Model(code.value), 0
-        held: list = []
-
-        def count():
-            if held:
-                model.count([np.concatenate([h[0][k] for h in held]) for k in range(len(BITS))], np.concatenate([h[1] for h in held]))
-                held.clear()
-
+        trainer = Trainer(code.value)
         for batch in batches:
             for lo, hi in chunks(batch.column(0), 1 << 20):
                 words = words_of(batch.column(0).slice(lo, hi - lo), lower=True)
                 s = symbols_of(words, code.value, code.value.lookup.find(words.hash))
                 for node, slots, bit, _, _ in decisions(s, code.value):
-                    model.learn(slots, node, bit)
-                    held.append((slots, bit))
-                    since += len(bit)
-                    if len(held) == 64:
-                        count()
-                if since > 1 << 23:
-                    count()
-                    model.refresh()
-                    since = 0
-        count()
-        if model.seen:
+                    trainer.add(node, slots, bit)
+        model = trainer.end()
+        if model.seen.any():
             keys, values = zip(*model.parts(), strict=True)
             for i in range(0, len(keys), 16):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 16], pa.int32()), pa.array(values[i : i + 16], pa.binary())], names=["block", "part"])
