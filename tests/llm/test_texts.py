@@ -214,13 +214,33 @@ def test_small_partitions_train_the_context_weights():
     busy = model.seen.argmax()
     assert model.weights[1][busy] > 0.15 and model.weights[1][busy] > 2 * model.weights[2][busy]
     # Weights of gates never used stay as they were, whatever the partitions.
-    blocks = {}
-    for k, part in model.parts():
-        blocks[k] = np.frombuffer(part, dtype="<f8")
-    joined = X.Model.join(code, blocks)
+    joined = X.Model.join(code, model.parts())
+    assert all((a == b).all() for a, b in zip(joined.counts, model.counts))
     assert np.allclose(joined.weights[1], model.weights[1], atol=1e-6) and joined.map.tolist() == model.map.tolist()
 
 
+def test_tables_grow_with_the_corpus():
+    import numpy as np
+
+    assert X.sizes(1000, 100) == (19, 1 << 18) and X.sizes(390_000, 300_000) == (21, 300_000)
+    assert X.sizes(4_000_000, 1 << 30) == (22, 1 << 19) == X.sizes(10**10, 1 << 30)
+    code = X.Code.of(np.array([5, 3, 9], dtype=np.uint64), np.array([10.0, 4, 5]), np.ones(3, bool), 2.0, 3.0, np.ones(256))
+    code.bits = (21, 20)
+    s = X.Symbols(np.zeros(4000, np.int32), (np.arange(4000, dtype=np.uint32) * np.uint32(2654435761),) * 2, np.array([0, 4000]))
+    trainer, seen = X.Trainer(code), [set(), set()]
+    for node, slots, bit, _, _ in X.decisions(s, code):
+        for have, some in zip(seen, slots):
+            have.update(some.tolist())
+        trainer.add(node, slots, bit)
+    model = trainer.end()
+    assert [c.shape[0] for c in model.counts] == [1 << 21, 1 << 20] and max(seen[0]) >= 1 << 20
+    assert [set(np.flatnonzero(c.sum(axis=1)).tolist()) for c in model.counts] == seen
+    # Predictions renewed at the slots counted are those made from all counts.
+    model.refresh()
+    again = X.Model.join(code, model.parts())
+    assert all((a == b).all() for a, b in zip(model.told, again.told))
+
+
 def test_nothing_to_learn_from(spark, empty):
     k = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = X.score(spark.createDataFrame([(k, "Some text")], "doc_id long, text string")).first()

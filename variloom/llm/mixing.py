@@ -13,14 +13,15 @@ Training is online within each input partition: a stretch of text is predicted f
 before it there, weights and map are updated by all its decisions (weights by gradient steps),
 then the stretch is counted.  Predictions are renewed from the counts whenever these have doubled
 (past STEP decisions: every STEP), so that small partitions learn too.  Tables of all partitions
-are added up, weights averaged by the decisions of their gate.  All counts cover all training texts; the tables'
-sizes are fixed, so what is broadcast is bounded whatever the corpus.
+are added up, weights averaged by the decisions of their gate.  All counts cover all training texts.  Tables and word tree
+grow with the counted words up to what each worker can hold (MOST_BITS, MOST_WORDS); past that
+contexts share slots, and more words are spelled.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,12 +33,15 @@ from .common import arrow_map, materialize, row_hash
 from .words import BYTE_BASE, Words, buffers, chunks, inverse, mix, powers, words_of
 
 END = 0xFF  # a byte that no UTF-8 text has; it ends a spelled word
-#: log2 of the tables' sizes: the shorter context, the longer one.
+#: log2 of the tables' sizes (the shorter context, the longer one) of a small corpus, and the most of either.
 BITS = (19, 19)
+MOST_BITS = 22
+#: Words in the tree for a small corpus, and the most.
+LEAST_WORDS, MOST_WORDS = 1 << 18, 1 << 19
 GATES = 36
 MAP_STEPS = 48
 SEGMENT = 1 << 12
-BLOCK = 1 << 14
+BLOCK = 1 << 15
 #: Decisions before predictions are first made from the counts, and the most from one renewal to the next.
 FIRST, STEP = 1 << 10, 1 << 23
 
@@ -94,6 +98,20 @@ class Lookup:
         return out
 
 
+def pack(counts: np.ndarray) -> bytes:
+    """Numbers of 32 bits, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack(part: bytes) -> np.ndarray:
+    import zstandard
+
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(part), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 @dataclass
 class Code:
     """Symbols: frequent words (``symbol`` of a place in ``lookup``, -1 if spelled), escape, end of text, bytes.
@@ -108,6 +126,7 @@ class Code:
     offset: np.ndarray
     entry: np.ndarray
     stretch: np.ndarray
+    bits: tuple[int, int] = BITS
 
     @classmethod
     def of(cls, words: np.ndarray, counts: np.ndarray, in_tree: np.ndarray, rare: float, ends: float, bytes_: np.ndarray) -> "Code":
@@ -121,6 +140,14 @@ class Code:
         symbol = np.where(in_tree, np.cumsum(in_tree) - 1, -1).astype(np.int32)
         return cls(Lookup(words), symbol, np.log10(counts + 1), length, (np.cumsum(length) - length).astype(np.int32), entry.astype(np.int32), np.log(sides[:, 1] / sides[:, 0]).astype(np.float32))
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"entry": pack(self.entry), "length": pack(self.length), "offset": None, "symbol": pack(self.symbol)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.entry, self.length, self.symbol = (unpack(state[k]).view(np.int32) for k in ("entry", "length", "symbol"))
+        self.offset = (np.cumsum(self.length) - self.length).astype(np.int32)
+
     @property
     def escape(self) -> int:
         return len(self.length) - 258
@@ -194,7 +221,7 @@ def decisions(s: Symbols, code: Code) -> Iterator[tuple[np.ndarray, list[np.ndar
         node, bit = entry >> 1, (entry & 1).astype(np.uint8)
         salt = node.astype(np.uint32) * np.uint32(0x27D4EB2F)
         slots = []
-        for c, b in zip(s.contexts, BITS, strict=True):
+        for c, b in zip(s.contexts, code.bits, strict=True):
             x = np.repeat(c[lo : lo + SEGMENT], n)
             x ^= salt
             x *= np.uint32(0x2C1B3C6D)
@@ -204,12 +231,23 @@ def decisions(s: Symbols, code: Code) -> Iterator[tuple[np.ndarray, list[np.ndar
         yield node, slots, bit, (stop - n)[np.maximum(s.first[texts] - lo, 0)], texts
 
 
+def sizes(n_words: int, n_kinds: int) -> tuple[int, int]:
+    """log2 of the slots of a table and the words in the tree, from the words and kinds of words counted."""
+    return min(MOST_BITS, max(BITS[0], (4 * n_words).bit_length())), min(MOST_WORDS, max(LEAST_WORDS, n_kinds))
+
+
 class Model:
     """Counts per slot, gated weights and the adaptive map."""
 
     def __init__(self, code: Code):
-        self.base = code.stretch
-        self.counts = [np.zeros((1 << b, 2), dtype=np.uint32) for b in BITS]
+        self.start(code.stretch, code.bits)
+
+    def start(self, base: np.ndarray, bits: tuple[int, int]) -> None:
+        self.base, self.bits = base, bits
+        self.counts = [np.zeros((1 << b, 2), dtype=np.uint32) for b in bits]
+        self.told = [np.zeros(1 << b, dtype=np.int32) for b in bits]
+        # Slots counted since the last renewal, or None if too many to list.
+        self.touched: list[list | None] = [None for _ in bits]
         self.weights = [np.full(GATES, w, dtype=np.float32) for w in (1.0, 0.1, 0.1)]
         self.map = np.zeros((MAP_STEPS, 2), dtype=np.float64)
         self.seen = np.zeros(GATES)
@@ -219,12 +257,13 @@ class Model:
         """Predictions and confidences from the counts."""
         # One number holds both, so that one look-up gets them: the prediction in steps of
         # 2**-20, its lowest three bits the confidence.
-        self.told = []
-        for c in self.counts:
-            n = c.astype(np.float32)
+        for k, (c, told) in enumerate(zip(self.counts, self.told, strict=True)):
+            some = slice(None) if self.touched[k] is None else np.unique(np.concatenate([*self.touched[k], np.zeros(0, np.intp)]))
+            self.touched[k] = []
+            n = c[some].astype(np.float32)
             stretch = np.log((n[:, 1] + np.float32(0.4)) / (n[:, 0] + np.float32(0.4)))
-            sure = np.minimum(5, np.log2(n.sum(axis=1) + 1) / 2).astype(np.int32)
-            self.told.append((stretch * np.float32(1 << 20)).astype(np.int32) & ~7 | sure)
+            sure = np.minimum(5, np.log2(n[:, 0] + n[:, 1] + 1) / 2).astype(np.int32)
+            told[some] = (stretch * np.float32(1 << 20)).astype(np.int32) & ~7 | sure
         middle = (np.arange(MAP_STEPS) + 0.5) * 0.375 - 9
         hits = self.map
         p = (hits[:, 1] + 20 / (1 + np.exp(-middle))) / (hits.sum(axis=1) + 20)
@@ -282,32 +321,63 @@ class Model:
         self.seen += seen
 
     def count(self, slots, bit) -> None:
-        for c, i in zip(self.counts, slots, strict=True):
+        for k, (c, i) in enumerate(zip(self.counts, slots, strict=True)):
             i <<= 1
             i += bit
-            c += np.bincount(i, minlength=2 * len(c)).astype(np.uint32).reshape(-1, 2)
+            if 8 * len(i) < c.size:
+                used, n = np.unique(i, return_counts=True)
+                c.reshape(-1)[used] += n.astype(np.uint32)
+                if self.touched[k] is not None:
+                    self.touched[k].append(used >> 1)
+            else:
+                c += np.bincount(i, minlength=2 * len(c)).astype(np.uint32).reshape(-1, 2)
+                self.touched[k] = None
 
     def parts(self) -> Iterator[tuple[int, bytes]]:
-        """Blocks of numbers that add up over partitions."""
-        every = np.concatenate([*(c.ravel() for c in self.counts), *(w * self.seen for w in self.weights), self.seen, self.map.ravel()])
-        for i in range(0, len(every), BLOCK):
-            yield i // BLOCK, every[i : i + BLOCK].astype("<f8").tobytes()
+        """Blocks of numbers that add up over partitions: block -1 has the weights and the map, the others counts."""
+        yield -1, np.concatenate([*(w * self.seen for w in self.weights), self.seen, self.map.ravel()]).astype("<f8").tobytes()
+        first = 0
+        for c in self.counts:
+            flat = c.reshape(-1)
+            for i in range(0, len(flat), BLOCK):
+                if flat[i : i + BLOCK].any():
+                    yield first + i // BLOCK, pack(flat[i : i + BLOCK])
+            first += len(flat) // BLOCK
 
     @classmethod
-    def join(cls, code: Code, blocks: dict[int, np.ndarray]) -> "Model":
+    def join(cls, code: Code, blocks: Iterable[tuple[int, bytes]]) -> "Model":
         out = cls(code)
-        if blocks:
-            every, at = np.concatenate([blocks[i] for i in sorted(blocks)]), 0
-            for c in out.counts:
-                c[:] = every[at : at + c.size].reshape(-1, 2)
-                at += c.size
-            sums, out.seen = every[at : at + 3 * GATES].reshape(3, GATES), every[at + 3 * GATES : at + 4 * GATES]
-            for w, x in zip(out.weights, sums, strict=True):
-                np.divide(x, out.seen, out=w, where=out.seen > 0, casting="same_kind")
-            out.map = every[at + 4 * GATES :].reshape(out.map.shape)
-            out.refresh()
+        out.fill(blocks)
         return out
 
+    def fill(self, blocks: Iterable[tuple[int, bytes]]) -> None:
+        """Take over sums of ``parts``."""
+        for block, part in blocks:
+            if block < 0:
+                rest = np.frombuffer(part, dtype="<f8")
+                sums, self.seen = rest[: 3 * GATES].reshape(3, GATES), rest[3 * GATES : 4 * GATES]
+                for w, x in zip(self.weights, sums, strict=True):
+                    np.divide(x, self.seen, out=w, where=self.seen > 0, casting="same_kind")
+                self.map = rest[4 * GATES :].reshape(self.map.shape)
+                continue
+            for c in self.counts:
+                if block < c.size // BLOCK:
+                    c.reshape(-1)[block * BLOCK : (block + 1) * BLOCK] = unpack(part)
+                    break
+                block -= c.size // BLOCK
+        self.touched = [None for _ in self.counts]
+        self.refresh()
+
+    # Counts are packed far smaller than the predictions made from them, which are all that a copy keeps.
+    def __getstate__(self) -> tuple:
+        return self.base, self.bits, list(self.parts())
+
+    def __setstate__(self, state: tuple) -> None:
+        base, bits, blocks = state
+        self.start(base, bits)
+        self.fill(blocks)
+        self.counts = []
+
 
 class Trainer:
     """Learns from decisions in their order, and counts them."""
@@ -336,7 +406,7 @@ class Trainer:
 
     def count(self) -> None:
         if self.held:
-            self.model.count([np.concatenate([h[0][k] for h in self.held]) for k in range(len(BITS))], np.concatenate([h[1] for h in self.held]))
+            self.model.count([np.concatenate([h[0][k] for h in self.held]) for k in range(len(self.model.counts))], np.concatenate([h[1] for h in self.held]))
             self.held.clear()
 
     def end(self) -> Model:
@@ -393,15 +463,17 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(part, dtype="<f8")
-            total[block] = total[block] + x if block in total else x.copy()
+            x = np.frombuffer(part, dtype="<f8") if block < 0 else unpack(part).astype(np.int64)
+            total[block] = total[block] + x if block in total else x
     if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "part"])
+        # A slot's counts stop where 32 bits do.
+        parts = [x.tobytes() if block < 0 else pack(np.minimum(x, (1 << 32) - 1)) for block, x in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(parts, pa.binary())], names=["block", "part"])
 
 
-def _score(shared):
+def _score(shared_code, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, model = shared.value
+        code, model = shared_code.value, shared.value
         for batch in batches:
             for lo, hi in chunks(batch.column("text_"), 1 << 20):
                 part = batch.slice(lo, hi - lo)
@@ -426,7 +498,7 @@ def _score(shared):
     return run
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_mod: int = 7, held_at: int = 2, top_words: int = 1 << 18, tree_words: int = 1 << 18) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_mod: int = 7, held_at: int = 2, top_words: int | None = None, tree_words: int | None = None) -> DataFrame:
     """One row per row of ``docs``: key, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     Learns from rows whose crc32 of the key (as text) modulo ``held_mod`` is not ``held_at``;
@@ -434,7 +506,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_mod: in
     A null or empty text is its end alone; repeated rows score alike and are learned from as
     often; without training rows every decision is even.  Counts of the ``top_words`` most
     frequent words are broadcast, all others are joined; the ``tree_words`` most frequent are
-    symbols of the tree.
+    symbols of the tree.  Both follow from the counted words (``sizes``) unless given.
     """
     spark = docs.sparkSession
     id_type = docs.schema[key].dataType.simpleString()
@@ -452,19 +524,22 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_mod: in
     n_words, n_kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_ends = int(bytes_[END])
     n_all, v_all = n_words + n_ends, n_kinds + (n_ends > 0)
+    bits, most_words = sizes(n_words, n_kinds)
+    top_words, tree_words = (most_words if w is None else w for w in (top_words, tree_words))
     top = words.orderBy(F.desc("c"), "h").limit(top_words).toArrow()
     top_h, top_c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy().astype(np.float64)
     # Words seen once stand for those never seen: they are spelled.
     in_tree = (top_c > 1) & (np.arange(len(top_c)) < tree_words)
     code = Code.of(top_h, top_c, in_tree, float(n_words - top_c[in_tree].sum()), float(n_ends), bytes_.astype(np.float64))
+    code.bits = (bits, bits)
 
     shared_code = spark.sparkContext.broadcast(code)
     parts = arrow_map(arrow_map(training, _train(shared_code), "block int, part binary").repartition(64, "block"), _add, "block int, part binary")
-    model = Model.join(code, {r["block"]: np.frombuffer(r["part"], dtype="<f8") for r in parts.toLocalIterator()})
-    model.counts = []  # what scoring needs is derived from them
-    shared = spark.sparkContext.broadcast((code, model))
+    model = Model.join(code, ((r["block"], r["part"]) for r in parts.toLocalIterator()))
+    shared = spark.sparkContext.broadcast(model)
+    del model
 
-    scored = arrow_map(base, _score(shared), f"id_ {id_type}, k1_ long, k2_ long, held_ boolean, n_tokens long, known_ long, logs_ double, rare_ array<long>, n_bytes long, score double")
+    scored = arrow_map(base, _score(shared_code, shared), f"id_ {id_type}, k1_ long, k2_ long, held_ boolean, n_tokens long, known_ long, logs_ double, rare_ array<long>, n_bytes long, score double")
     scored = materialize(scored, "scored")
     rare = scored.select("k1_", "k2_", "rare_").dropDuplicates(["k1_", "k2_"]).select("k1_", "k2_", F.explode("rare_").alias("h"))
     found = rare.join(words, "h").groupBy("k1_", "k2_").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("rare_logs"))
