@@ -291,3 +291,16 @@ def test_windows_cover_whole_texts():
     x, n, doc = L.windows_of(data, np.array([0, 10, 10, 23]), 4)
     assert doc.tolist() == [0, 0, 0, 2, 2, 2, 2] and n.tolist() == [4, 4, 2, 4, 4, 4, 1]
     assert [b for row, k in zip(x, n) for b in row[:k]] == list(range(23))
+
+
+def test_texts_are_scored_alike_alone_and_beside_others():
+    import numpy as np
+    import pyarrow as pa
+
+    net = L.Network(["a", "b", "c"])
+    net.start(np.random.default_rng(2))
+    texts = ["one", "two words", "x" * 70, "é", "", None, "a longer text of several words that takes more than one window of bytes"]
+    alone = np.concatenate([L.document_probabilities(net, pa.array([t], pa.string())) for t in texts])
+    for order in (range(len(texts)), range(len(texts) - 1, -1, -1)):
+        beside = L.document_probabilities(net, pa.array([texts[i] for i in order], pa.string()))
+        assert np.allclose(beside, alone[list(order)], atol=1e-6)

@@ -121,14 +121,17 @@ class Network:
 
 
 def windows_of(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Consecutive windows over each text: bytes (windows, size), lengths, and the text of each."""
+    """Consecutive windows over each text: bytes (windows, size; 0 past the text's end), lengths, and the text of each."""
     n = np.diff(at)
     per = -(-n // size)
     doc = np.repeat(np.arange(len(n)), per)
     start = at[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * size
     length = np.minimum(size, at[doc + 1] - start)
     place = np.minimum(start[:, None] + np.arange(size), len(data) - 1)
-    return data[place], length, doc
+    x = data[place]
+    short = np.flatnonzero(length < size)
+    x[short] = np.where(np.arange(size) < length[short, None], x[short], 0)
+    return x, length, doc
 
 
 def train(rows: list[tuple[str, str]], window: int = 64, per_text: int = 3, epochs: int = 8, batch: int = 256, rate: float = 0.01, hidden: int = 8, seed: int = 3) -> Network:
