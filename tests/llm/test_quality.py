@@ -91,6 +91,19 @@ def test_resampling(spark, docs, corpus):
     assert by[75]["log_weight"] == 0
 
 
+def test_all_grams_have_their_share_in_the_ratio():
+    import numpy as np
+
+    # Expected from the raw text: a tenth of its counts.
+    raw = np.array([10.0, 50, 100, 200, 1000, 5000, 3640])
+    target = np.array([5.0, 0, 15, 8, 160, 448, 364])
+    got = I.log_ratio(target, raw)
+    assert np.sign(got).tolist() == [1, -1, 1, -1, 1, -1, 0]
+    # The same ratio tells more the more n-grams it rests on, at any size.
+    more = I.log_ratio(target * 10, raw * 10)
+    assert all(abs(more[:6]) > abs(got[:6])) and more[6] == 0
+
+
 def test_kth_largest(spark):
     import random
 

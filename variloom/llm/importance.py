@@ -63,18 +63,18 @@ def bucket_counts(docs: DataFrame, text: str, bits: int) -> np.ndarray:
     return out
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray, least_expected: float = 30.0, least_factor: float = 2.0) -> np.ndarray:
-    """log p_target - log p_raw per bucket.
+def log_ratio(target: np.ndarray, raw: np.ndarray, pseudo: float = 3.0, spread: float = 0.5) -> np.ndarray:
+    """log p_target - log p_raw per bucket, shrunk towards 0 where it is hard to tell.
 
-    The target's counts are held against those expected from the raw text, with one n-gram
-    added to both.  Where fewer than ``least_expected`` are expected, or the two differ by less
-    than ``least_factor``, a difference can't be told from chance and from the mix of sources,
-    and both models are taken as equal.
+    The target's counts are held against those expected from the raw text, with ``pseudo``
+    n-grams added to both.  A ratio shrinks by the square of its share in the sum of its
+    square and of the variance that chance (by both counts) and the mix of sources
+    (``spread``, a deviation) bring: no n-gram is left out, whatever the target's size.
     """
     expected = raw * (target.sum() / max(1.0, raw.sum()))
-    ratio = np.log((target + 1) / (expected + 1))
-    telling = (np.maximum(expected, target) >= least_expected) & (np.abs(ratio) >= np.log(least_factor))
-    return np.where(telling, ratio, 0).astype(np.float32)
+    ratio = np.log((target + pseudo) / (expected + pseudo))
+    noise = 1 / (target + pseudo) + 1 / (expected + pseudo) + spread**2
+    return (ratio * (ratio**2 / (ratio**2 + noise)) ** 2).astype(np.float32)
 
 
 def _score(table, bits: int, evidence: float):
