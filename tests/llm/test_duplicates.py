@@ -167,3 +167,13 @@ def test_components_of_a_chain(spark):
 
 def test_empty(empty):
     assert S.remove_repeats(empty).count() == N.near_duplicates(empty).count() == N.keep_one(empty).count() == 0
+
+
+def test_bounds_of_very_long_texts_stay_bounds():
+    import numpy as np
+
+    from variloom.llm import neardup
+
+    lacks, extra = np.array([[1.0, 7e4, 1e9]]), np.array([[1.0, 7e4, 1e9]])
+    got = neardup.half(lacks, extra).astype(np.float64)
+    assert np.isfinite(got[:, :3]).all() and (got[:, :3] <= lacks).all() and (got[:, 3:] >= extra).all()

@@ -184,6 +184,12 @@ def weighted_overlap(left: Shingles, right: Shingles, idf: np.ndarray) -> tuple[
     return np.bincount(of, l_w, minlength=n), np.bincount(of, r_w, minlength=n), np.bincount(of, both, minlength=n), lacks, extra
 
 
+def half(lacks: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """Half precision, rounded so that bounds stay bounds: what is lacked stays finite, what is extra may become infinite."""
+    with np.errstate(over="ignore"):
+        return np.concatenate([np.minimum(lacks * 0.999, np.finfo(np.float16).max), extra * 1.001], axis=1).astype(np.float16)
+
+
 def _verify(idf, settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -193,8 +199,7 @@ def _verify(idf, settings: Settings):
                 part, open_ = batch.slice(lo, 256), zstandard.ZstdDecompressor()
                 sides = [shingles_of(pa.array([open_.decompress(z).decode() for z in part.column(c).to_pylist()], pa.large_string()), settings.shingle) for c in ("za_", "zb_")]
                 wa, wb, both, lacks, extra = weighted_overlap(*sides, idf.value)
-                # Half precision, rounded so that bounds stay bounds.
-                gap = np.concatenate([lacks * 0.999, extra * 1.001], axis=1).astype(np.float16)
+                gap = half(lacks, extra)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(wa), pa.array(wb), pa.array(both), pa.array([g.tobytes() for g in gap], pa.binary())], names=["a", "b", "wa", "wb", "both", "gap"])
 
     return run
