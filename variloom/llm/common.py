@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local_dir:
         _local_dir.append(tempfile.mkdtemp(prefix="variloom-"))
     return "file://" + _local_dir[0]
@@ -31,11 +34,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return it reread.
 
     It cuts lineage and survives the loss of executors, as nothing of it is kept on them.
+    Results are lazy and may be read until the session ends, so the files go at its end
+    unless ``drop_materialized`` deletes them before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -90,6 +97,34 @@ def release_memory() -> None:
         pass
 
 
+_codec = pa.Codec("zstd", compression_level=3)
+
+
+def squeeze(text: bytes) -> bytes:
+    """Compressed bytes, their size before them."""
+    return len(text).to_bytes(8, "little") + _codec.compress(text, asbytes=True)
+
+
+def squeezed_size(z: bytes) -> int:
+    return int.from_bytes(z[:8], "little")
+
+
+def unsqueeze(z: bytes) -> bytes:
+    return _codec.decompress(z[8:], decompressed_size=squeezed_size(z), asbytes=True)
+
+
+def runs_of(sizes: list[int], most: int, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive rows of ``most`` bytes and ``rows`` rows at most (a larger row is a range of its own)."""
+    begin = total = 0
+    for i, n in enumerate(sizes):
+        if i > begin and (total + n > most or i - begin == rows):
+            yield begin, i
+            begin, total = i, 0
+        total += n
+    if len(sizes) > begin:
+        yield begin, len(sizes)
+
+
 def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
     """``df.mapInArrow`` in bounded batches, with memory given back after each partition."""
 

@@ -1,27 +1,55 @@
-"""Connected components of an edge table, by spreading least labels with pointer jumping."""
+"""Connected components kept as labels: trees of hooked nodes, flattened by pointer jumping."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_materialized, materialize
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, comp) for each node of an edge; comp is the least node of its component.
+def roots(forest: DataFrame) -> DataFrame:
+    """(node, up) with the root above each node, from one parent ``up`` for a node and no cycles.
 
-    In each round a node takes the least label among its neighbours, then the label of that
-    label, so that long chains shorten by half.  Rounds end when no label changes.  Labels
-    are written between rounds; nothing but a count reaches the driver.
+    A root itself has no row.  Each round replaces a parent by its parent, so that paths
+    shorten by half; a round makes one row a node.
     """
-    both = materialize(edges.select(F.col(a).alias("node"), F.col(b).alias("to")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("to"))).where("node != to").distinct(), "edges")
-    labels = materialize(both.groupBy("node").agg(F.min("to").alias("comp")).select("node", F.least("node", "comp").alias("comp")), "labels")
+    spark, now = forest.sparkSession, materialize(forest.select("node", "up"), "forest")
     while True:
-        near = both.join(labels.select(F.col("node").alias("to"), F.col("comp").alias("c")), "to").groupBy("node").agg(F.min("c").alias("c"))
-        spread = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "c").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        new = materialize(spread.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")), "labels")
-        labels = new.select("node", "comp")
-        if not new.where("comp != old").limit(1).count():
-            return labels
+        over = now.select(F.col("node").alias("up"), F.col("up").alias("over"))
+        new = materialize(now.join(over, "up", "left").select("node", F.coalesce("over", "up").alias("up"), F.col("over").isNotNull().alias("moved")), "forest")
+        drop_materialized(spark, now)
+        now = new.select("node", "up")
+        if not new.where("moved").limit(1).count():
+            return now
+
+
+def join_labels(labels: DataFrame, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, comp) after the links join the components of ``labels``, which names every node.
+
+    Only links between different components count.  In each round a component hooks on to the
+    least it is linked to if that is less than itself, trees are flattened, and the links are
+    carried over to their roots, until none is left between two; at least half of the linked
+    components go in a round.
+    """
+    spark = labels.sparkSession
+
+    def between(edges: DataFrame, to: DataFrame, node: str, comp: str) -> DataFrame:
+        for side in "ab":
+            edges = edges.join(to.select(F.col(node).alias(side), F.col(comp).alias("to_")), side, "left").withColumn(side, F.coalesce("to_", side)).drop("to_")
+        return materialize(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+
+    edges = between(links.select(F.col(a).alias("a"), F.col(b).alias("b")), labels, "node", "comp")
+    while edges.limit(1).count():
+        to = roots(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")))
+        labels = materialize(labels.join(to.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
+        rest = between(edges, to, "node", "up")
+        drop_materialized(spark, edges)
+        edges = rest
+    return labels
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, comp) for each node of an edge table; nodes of one component have one of them as ``comp``."""
+    nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b).alias("node"))).distinct()
+    return join_labels(materialize(nodes.select("node", F.col("node").alias("comp")), "labels"), edges, a, b)

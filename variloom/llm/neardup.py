@@ -6,11 +6,15 @@ documents in ``2**idf_bits`` hashed buckets.  ``bands`` x ``rows`` samples are d
 samples agree with the probability of the weighted Jaccard similarity; texts that agree in
 all rows of a band are candidates, verified by the exact weighted Jaccard similarity.
 
-Texts with the same words are one node from the start.  In a bucket, every node is first
-compared with one leader (the node that meets the most others).  Then nodes of one bucket
-that lie in different components so far are compared in blocks: a pair is verified unless
-an exact bound, from what each node lacks of the leader and has beyond it, rules it out.  No pairs are made of nodes already joined,
-so large groups of near copies cost about one comparison a node.
+Texts with the same words are one node from the start.  A bucket's leader is the node in it
+that meets the most others.  Every node is first compared with the best of its leaders, which
+makes a forest; then with those leaders that lie in another component.  What is left are
+buckets with several components: there the nodes outside the leader's component are held
+against all others in blocks, and a pair is verified unless an exact bound, from what each
+node lacks of the leader and has beyond it, rules it out.  Of the pairs of a node with one
+component the likeliest are verified first, more in each round while the components differ.
+No pairs are made of nodes already joined, so a large group of near copies costs about one
+comparison a node.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, row_hash
-from .components import components
+from .common import arrow_map, drop_materialized, materialize, row_hash, runs_of, squeeze, squeezed_size, unsqueeze
+from .components import join_labels, roots
 from .words import WORD_BASES, Prefix, chunks, mix, words_of
 
 
@@ -39,8 +43,9 @@ class Settings:
     #: shingles that a large group of copies has in common would weigh far less than the few
     #: in which its copies differ, and the group would come apart.
     idf_share: float = 0.05
-    #: Nodes of a block.
-    block: int = 256
+    #: Nodes of a block, and pairs of a node with one component that a first round verifies.
+    block: int = 2048
+    first_pairs: int = 4
     seed: int = 11
 
 
@@ -140,9 +145,7 @@ class Sampler:
 
 def _sign(idf, settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        sampler, squeeze = Sampler(settings), zstandard.ZstdCompressor(level=3)
+        sampler = Sampler(settings)
         band_salt = mix(np.arange(1, settings.bands + 1, dtype=np.uint64))
         for batch in batches:
             for lo, hi in chunks(batch.column("text_"), 1 << 20):
@@ -155,7 +158,7 @@ def _sign(idf, settings: Settings):
                 bands, z = [None] * len(part), [None] * len(part)
                 texts = part.column("text_").to_pylist()
                 for row, d in enumerate(np.flatnonzero(np.diff(s.first))):
-                    bands[d], z[d] = value[row].view(np.int64), squeeze.compress(texts[d].encode())
+                    bands[d], z[d] = value[row].view(np.int64), squeeze(texts[d].encode())
                 yield pa.RecordBatch.from_arrays([part.column("id_"), part.column("k1_"), part.column("k2_"), pa.array(s.n_words), pa.array(s.node, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(z, pa.binary())], names=["id_", "k1_", "k2_", "n_words_", "node_", "bands_", "z_"])
 
     return run
@@ -191,13 +194,14 @@ def half(lacks: np.ndarray, extra: np.ndarray) -> np.ndarray:
 
 
 def _verify(idf, settings: Settings):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+    """Weights of pairs of texts and of what they share; texts are opened some MB at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part, open_ = batch.slice(lo, 256), zstandard.ZstdDecompressor()
-                sides = [shingles_of(pa.array([open_.decompress(z).decode() for z in part.column(c).to_pylist()], pa.large_string()), settings.shingle) for c in ("za_", "zb_")]
+            za, zb = (batch.column(c).to_pylist() for c in ("za_", "zb_"))
+            for lo, hi in runs_of([squeezed_size(x) + squeezed_size(y) for x, y in zip(za, zb, strict=True)], 1 << 20, 256):
+                part = batch.slice(lo, hi - lo)
+                sides = [shingles_of(pa.array([unsqueeze(x).decode() for x in z[lo:hi]], pa.large_string()), settings.shingle) for z in (za, zb)]
                 wa, wb, both, lacks, extra = weighted_overlap(*sides, idf.value)
                 gap = half(lacks, extra)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(wa), pa.array(wb), pa.array(both), pa.array([g.tobytes() for g in gap], pa.binary())], names=["a", "b", "wa", "wb", "both", "gap"])
@@ -205,31 +209,41 @@ def _verify(idf, settings: Settings):
     return run
 
 
-def _compare_blocks(settings: Settings):
-    """Pairs of nodes in different components that may reach the threshold; rows come sorted by block pair."""
-    def pairs(rows: list[dict]) -> Iterator[tuple[bytes, bytes]]:
+def _compare_blocks(settings: Settings, most_pairs: int):
+    """Pairs of nodes in different components that may reach the threshold; rows come sorted by bucket and block pair.
+
+    Of a node and a component, the ``most_pairs`` likeliest; a pair of nulls tells that more are left.
+    """
+
+    def pairs(rows: list[dict], found: set) -> None:
         gap = np.stack([np.frombuffer(r["gap"], dtype=np.float16) if r["gap"] is not None else np.zeros(2 * GAP, np.float16) for r in rows]).astype(np.float32)
         lacks, extra = gap[:, :GAP], gap[:, GAP:]
         comp = np.unique([r["comp"] for r in rows], return_inverse=True)[1]
-        w, inside, own = (np.array([r[c] for r in rows]) for c in ("w", "both", "at"))
-        i, j, whole = rows[0]["i"], rows[0]["j"], rows[0]["wo"]
-        for x in range(len(rows)):
-            if own[x] != i:
-                continue
-            y = np.arange(x + 1, len(rows)) if i == j else np.flatnonzero(own == j)
-            y = y[comp[y] != comp[x]]
+        w, inside = (np.array([r[c] for r in rows]) for c in ("w", "both"))
+        stray, whole = np.array([r["side"] for r in rows]), rows[0]["wo"]
+        others = np.flatnonzero(stray != 1)  # side 1: of the block of strays, 2: of the other block, 3: of both
+        for x in np.flatnonzero(stray != 2):
+            y = others[comp[others] != comp[x]]
             shared = np.minimum(np.minimum(inside[x], inside[y]), whole - np.maximum(lacks[x], lacks[y]).sum(axis=1))
             most = shared + np.minimum(extra[x], extra[y]).sum(axis=1)
-            y = y[most * (1 + 1e-5) >= settings.threshold * (w[x] + w[y] - most)]
-            for z in y:
-                yield min(rows[x]["node"], rows[z]["node"]), max(rows[x]["node"], rows[z]["node"])
+            ratio = most * (1 + 1e-5) / np.maximum(w[x] + w[y] - most, 1e-9)
+            may = (ratio >= settings.threshold) | (most >= w[x] + w[y])
+            y, ratio = y[may], ratio[may]
+            order = np.lexsort((-ratio, comp[y]))
+            y = y[order]
+            start = np.flatnonzero(np.concatenate([[True], comp[y][1:] != comp[y][:-1]])) if len(y) else y
+            rank = np.arange(len(y)) - np.repeat(start, np.diff(np.append(start, len(y))))
+            if (rank >= most_pairs).any():
+                found.add((None, None))
+            for z in y[rank < most_pairs]:
+                found.add((min(rows[x]["node"], rows[z]["node"]), max(rows[x]["node"], rows[z]["node"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
-        found: set[tuple[bytes, bytes]] = set()
+        found: set = set()
 
         def take():
-            out = pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary())], names=["a", "b"])
+            out = pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
             found.clear()
             return out
 
@@ -237,14 +251,14 @@ def _compare_blocks(settings: Settings):
             for row in batch.to_pylist():
                 here = (row["bucket"], row["i"], row["j"])
                 if here != last and held:
-                    found.update(pairs(held))
+                    pairs(held, found)
                     held = []
                     if len(found) > 20_000:
                         yield take()
                 held.append(row)
                 last = here
         if held:
-            found.update(pairs(held))
+            pairs(held, found)
         yield take()
 
     return run
@@ -258,10 +272,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     a class; an empty table gives no rows.
     """
     id_type = docs.schema[key].dataType.simpleString()
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     k1, k2 = row_hash(key, text)
     base = docs.select(F.col(key).alias("id_"), k1.alias("k1_"), k2.alias("k2_"), F.col(text).alias("text_"))
-    idf = sc.broadcast(idf_table(base, "text_", settings))
+    idf = spark.sparkContext.broadcast(idf_table(base, "text_", settings))
     signed = materialize(arrow_map(base, _sign(idf, settings), f"id_ {id_type}, k1_ long, k2_ long, n_words_ long, node_ binary, bands_ array<long>, z_ binary"), "signatures")
 
     # One row stands for each node; only nodes that share a bucket go on.
@@ -272,8 +286,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(spread.join(shared, "bucket"), "members")
     pop = members.groupBy("node").agg(F.sum("n").alias("pop"))
-    leaders = members.join(pop, "node").groupBy("bucket").agg(F.max(F.struct("pop", "node"))["node"].alias("leader"))
+    leaders = members.join(pop, "node").groupBy("bucket").agg(F.max(F.struct("pop", "node")).alias("l_")).select("bucket", "l_.pop", F.col("l_.node").alias("leader"))
     led = materialize(members.join(leaders, "bucket"), "led")
+    drop_materialized(spark, members)
 
     involved = stand.join(led.select("node").distinct(), "node")
     texts = signed.select("k1_", "k2_", "z_").join(involved, ["k1_", "k2_"])
@@ -284,26 +299,56 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
         put = pairs.join(z.select(F.col("node").alias("a"), F.col("z_").alias("za_")), "a").join(z.select(F.col("node").alias("b"), F.col("z_").alias("zb_")), "b")
         return materialize(arrow_map(put.select("a", "b", "za_", "zb_"), _verify(idf, settings), "a binary, b binary, wa double, wb double, both double, gap binary"), "verified")
 
+    def labelled(pairs: DataFrame, *sides: str) -> DataFrame:
+        for side in sides:
+            pairs = pairs.join(comp.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}")), side)
+        return pairs
+
     linked = F.expr(f"both >= {settings.threshold - 1e-9} * (wa + wb - both)")
-    first = verified(led.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    links = first.where(linked).select("a", "b")
-    comp = components(links)
-
-    # Buckets that still hold several components: compare across them, block by block.
-    known = led.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = known.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1 ").select("bucket")
-    open_ = known.join(mixed, "bucket").where("n > 2")
-    told = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("wb").alias("w"), "both", F.col("wa").alias("wo"), "gap")
-    own = first.select(F.col("a").alias("leader"), F.col("a").alias("node"), F.col("wa").alias("w"), F.col("wa").alias("both"), F.col("wa").alias("wo"), F.lit(None).cast("binary").alias("gap")).dropDuplicates(["node"])
-    open_ = open_.join(told.unionByName(own), ["leader", "node"])
-    blocks = F.ceil(F.col("n") / settings.block).cast("int")
-    at = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = open_.withColumns({"at": at, "to": F.explode(F.sequence(F.lit(0), blocks - 1))}).select("bucket", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), "at", "node", "comp", "w", "both", "wo", "gap")
-    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = arrow_map(dealt, _compare_blocks(settings), "a binary, b binary").distinct()
-    second = verified(more.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    links = links.unionByName(second.where(linked).select("a", "b"))
-    comp = components(links)
+    # The best leader of a node meets more than the node itself, so these links make no cycle.
+    best = led.where("node != leader").groupBy("node").agg(F.max(F.struct("pop", "leader"))["leader"].alias("leader"))
+    checked = verified(best.select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    up = roots(checked.where(linked).select(F.col("b").alias("node"), F.col("a").alias("up")))
+    comp = materialize(texts.select("node").join(up, "node", "left").select("node", F.coalesce("up", "node").alias("comp")), "labels")
+
+    def told(pairs: DataFrame) -> DataFrame:
+        """(a, b) of the pairs in different components that have not been verified."""
+        return labelled(pairs, "a", "b").where("comp_a != comp_b").select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti")
+
+    more = verified(told(led.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()))
+    comp, checked = join_labels(comp, more.where(linked)), checked.unionByName(more)
+
+    # Buckets that still hold several components: the nodes outside the leader's are strays.
+    most_pairs, facts = settings.first_pairs, None
+    while True:
+        known = labelled(led.where("n > 2"), "node", "leader")
+        strays = known.groupBy("bucket").agg(F.count_if(F.col("comp_node") != F.col("comp_leader")).alias("n_strays")).where("n_strays > 0")
+        open_ = materialize(known.join(strays, "bucket").select("bucket", "node", "leader", "n", "n_strays", F.col("comp_node").alias("comp"), (F.col("comp_node") != F.col("comp_leader")).alias("stray")), "open")
+        if facts is None:
+            if not open_.limit(1).count():
+                break
+            # Bounds need every node's overlap with the leader of its bucket.
+            pairs = open_.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+            missing = verified(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+            checked = checked.unionByName(missing)
+            facts = checked.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("wb").alias("w"), "both", F.col("wa").alias("wo"), "gap")
+            own = checked.select(F.col("a").alias("leader"), F.col("a").alias("node"), F.col("wa").alias("w"), F.col("wa").alias("both"), F.col("wa").alias("wo"), F.lit(None).cast("binary").alias("gap")).dropDuplicates(["node"])
+            facts = facts.unionByName(own)
+        blocks, strata = (F.greatest(F.lit(1), F.ceil(F.col(c) / settings.block)).cast("int") for c in ("n", "n_strays"))
+        i, j = (F.pmod(F.xxhash64("node", F.lit(k)), m).cast("int") for k, m in ((1, strata), (2, blocks)))
+        # A stray goes to its own row of block pairs, every node to its own column.
+        as_stray = F.when(F.col("stray"), F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(i.alias("i"), x.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+        as_other = F.transform(F.sequence(F.lit(0), strata - 1), lambda x: F.struct(x.alias("i"), j.alias("j")))
+        dealt = open_.join(facts, ["leader", "node"]).withColumns({"i_": i, "j_": j, "at": F.explode(F.array_union(as_stray, as_other))})
+        side = F.when(F.col("stray") & (F.col("at.i") == F.col("i_")), F.when(F.col("at.j") == F.col("j_"), 3).otherwise(1)).otherwise(2)
+        dealt = dealt.select("bucket", "at.i", "at.j", side.alias("side"), "node", "comp", "w", "both", "wo", "gap").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        pairs = materialize(arrow_map(dealt, _compare_blocks(settings, most_pairs), "a binary, b binary").distinct(), "pairs")
+        known_pairs = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = verified(pairs.where("a is not null").join(known_pairs, ["a", "b"], "left_anti"))
+        comp, checked = join_labels(comp, more.where(linked)), checked.unionByName(more)
+        if not pairs.where("a is null").limit(1).count():
+            break
+        most_pairs *= 4
 
     named = signed.select("id_", "k1_", "k2_", F.col("node_").alias("node")).join(comp, "node", "left")
     alone = F.concat(F.lit(b""), F.encode(F.concat_ws(":", F.lit("row"), "k1_", "k2_"), "UTF-8"))

@@ -4,7 +4,8 @@ Anchors are the hashes of ``seed`` words that winnowing picks: of any ``window``
 words, one seed is picked, by the window's content alone, so two equal windows pick the same.
 Documents meet on equal anchors.  Each anchor is extended both ways over all windows that
 picked it (the block); equal blocks need no further look.  Where one anchor has different
-blocks, each block is extended window by window, and equal windows meet.  So every shared
+blocks, each block is extended window by window, and equal windows meet.  Texts move between
+stages compressed.  So every shared
 window is found, in time linear in the anchors however many documents share one: no pairs
 are made.  Overlapping windows join to maximal repeats.
 
@@ -22,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, row_hash
+from .common import arrow_map, materialize, row_hash, runs_of, squeeze, squeezed_size, unsqueeze
 from .words import WORD_BASES, Prefix, chunks, words_of
 
-ANCHOR = "struct<a:int,b:bigint,c:int,s:int,n:int>"
+ANCHOR = "struct<a:bigint,b:bigint,s:int,n:int>"
 
 
 def _signed(x: np.ndarray, kind) -> np.ndarray:
@@ -45,6 +46,7 @@ def winnow(grams: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scan(window: int, seed: int):
+    """Each text compressed, with its anchors: hash of the seed and of its block, first window and windows of the block."""
     w = window - seed + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,38 +54,43 @@ def _scan(window: int, seed: int):
             for lo, hi in chunks(batch.column("text_")):
                 part = batch.slice(lo, hi - lo)
                 words = words_of(part.column("text_"))
-                pre = [Prefix.of(words.hash, base) for base in WORD_BASES]
+                grams_of, blocks_of = (Prefix.of(words.hash, base) for base in WORD_BASES)
                 first, last = words.first[:-1], words.first[1:]
-                h1, h2 = (_signed(p.window(first, last), np.int64) for p in pre)
-                counts, cols = np.zeros(len(first), np.int64), [[], [], [], [], []]
+                counts, cols = np.zeros(len(first), np.int64), [[], [], [], []]
                 for d in np.flatnonzero(last - first >= window):
                     lo_w, n = first[d], last[d] - first[d]
                     at = lo_w + np.arange(n - seed + 1)
-                    grams = pre[0].window(at, at + seed)
+                    grams = grams_of.window(at, at + seed)
                     place, run0 = winnow(grams, w)
                     run1 = np.concatenate([run0[1:], [n - window + 1]])
-                    lo_b, hi_b = lo_w + run0, lo_w + run1 - 1 + window
                     shift = (place - run0).astype(np.uint64)
                     counts[d] = len(place)
-                    for col, value in zip(cols, (grams[place], pre[0].window(lo_b, hi_b) + shift * np.uint64(0x9E3779B97F4A7C15), pre[1].window(lo_b, hi_b), run0, run1 - run0), strict=True):
+                    block = blocks_of.window(lo_w + run0, lo_w + run1 - 1 + window) + shift * np.uint64(0x9E3779B97F4A7C15)
+                    for col, value in zip(cols, (grams[place], block, run0, run1 - run0), strict=True):
                         col.append(value)
                 flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-                kinds = (np.int32, np.int64, np.int32, None, None)
-                arrays = [pa.array(_signed(v, k) if k else v.astype(np.int32)) for v, k in zip(flat, kinds, strict=True)]
-                anchors = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.StructArray.from_arrays(arrays, names=["a", "b", "c", "s", "n"]))
-                yield pa.RecordBatch.from_arrays([part.column("id_"), part.column("k1_"), part.column("k2_"), pa.array(last - first), pa.array(h1), pa.array(h2), anchors], names=["id_", "k1_", "k2_", "n_words_", "h1_", "h2_", "anchors_"])
+                arrays = [pa.array(v.view(np.int64)) for v in flat[:2]] + [pa.array(v.astype(np.int32)) for v in flat[2:]]
+                anchors = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.StructArray.from_arrays(arrays, names=["a", "b", "s", "n"]))
+                z = [None if t is None else squeeze(t.encode()) for t in part.column("text_").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id_"), part.column("k1_"), pa.array(z, pa.binary()), anchors], names=["id_", "k1_", "z_", "anchors_"])
 
     return run
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The batch in parts of bounded size, with their texts; null texts are empty."""
+    z = batch.column("z_").to_pylist()
+    for lo, hi in runs_of([squeezed_size(x) if x else 0 for x in z], 1 << 20):
+        yield batch.slice(lo, hi - lo), [unsqueeze(x) if x else b"" for x in z[lo:hi]]
+
+
 def _windows(window: int):
     """Hashes of the windows that start in given places of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in chunks(batch.column("text_")):
-                part = batch.slice(lo, hi - lo)
-                words = words_of(part.column("text_"))
+            for part, texts in _texts(batch):
+                words = words_of(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
                 pre = [Prefix.of(words.hash, base) for base in WORD_BASES]
                 which, place = [], []
                 for d, edges in enumerate(part.column("edges_").to_pylist()):
@@ -96,7 +103,7 @@ def _windows(window: int):
                 at = words.first[d] + s
                 w1, w2 = pre[0].window(at, at + window), pre[1].window(at, at + window)
                 take = pa.array(d)
-                yield pa.RecordBatch.from_arrays([part.column(c).take(take) for c in ("id_", "k1_", "k2_")] + [pa.array(s.astype(np.int32)), pa.array(_signed(w1, np.int64)), pa.array(_signed(w2, np.int32))], names=["id_", "k1_", "k2_", "s", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([part.column(c).take(take) for c in ("id_", "k1_")] + [pa.array(s.astype(np.int32)), pa.array(w1.view(np.int64)), pa.array(_signed(w2, np.int32))], names=["id_", "k1_", "s", "w1", "w2"])
 
     return run
 
@@ -114,17 +121,18 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
     for batch in batches:
-        rows = []
-        for text, spans in zip(batch.column("text_").to_pylist(), batch.column("spans_").to_pylist(), strict=True):
-            words = (text or "").encode().split()
-            n, merged = len(words), merge_spans([(s["s"], s["e"]) for s in spans or ()])
-            for s, e in reversed(merged):
-                del words[s:e]
-            rows.append((n, n - len(words), [{"s": s, "e": e} for s, e in merged], b" ".join(words).decode()))
-        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-        n, gone, spans, kept = zip(*rows, strict=True) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("id_"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string())], names=["id_", "n_words", "n_removed", "spans", "kept_text"])
+        for part, texts in _texts(batch):
+            rows = []
+            for text, spans in zip(texts, part.column("spans_").to_pylist(), strict=True):
+                words = text.split()
+                n, merged = len(words), merge_spans([(s["s"], s["e"]) for s in spans or ()])
+                for s, e in reversed(merged):
+                    del words[s:e]
+                rows.append((n, n - len(words), [{"s": s, "e": e} for s, e in merged], b" ".join(words).decode()))
+            n, gone, spans, kept = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([part.column("id_"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string())], names=["id_", "n_words", "n_removed", "spans", "kept_text"])
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, seed: int = 20) -> DataFrame:
@@ -135,32 +143,25 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     rows get equal results; an empty table gives no rows.  Other columns are not used.
     """
     id_type = docs.schema[key].dataType.simpleString()
-    keys = row_hash(key, text)
-    base = docs.select(F.col(key).alias("id_"), keys[0].alias("k1_"), keys[1].alias("k2_"), F.col(text).alias("text_"))
-    scanned = materialize(arrow_map(base, _scan(window, seed), f"id_ {id_type}, k1_ long, k2_ long, n_words_ long, h1_ long, h2_ long, anchors_ array<{ANCHOR}>"), "anchors")
-
-    # Documents with the same words: all but the first go as a whole, and only the first is a source.
-    same = scanned.where("n_words_ >= %d" % window).groupBy("h1_", "h2_").agg(F.min("id_").alias("first_"), F.count("*").alias("n_")).where("n_ > 1")
-    copies = scanned.select("id_", "k1_", "k2_", "n_words_", "h1_", "h2_").join(same, ["h1_", "h2_"]).where("first_ < id_").select("k1_", "k2_", "n_words_").distinct()
-    copies = materialize(copies, "copies")
-    seeds = scanned.join(copies.select("k1_", "k2_"), ["k1_", "k2_"], "left_anti").where(F.size("anchors_") > 0)
-    seeds = seeds.select("id_", "k1_", "k2_", F.explode("anchors_").alias("x")).select("id_", "k1_", "k2_", "x.*")
-
-    # Blocks: the first document of each; a block seen earlier is a repeat with all its windows.
-    blocks = materialize(seeds.groupBy("a", "b", "c").agg(F.min("id_").alias("first_"), F.count("*").alias("n_occ")), "blocks")
-    split = blocks.groupBy("a").agg(F.count("*").alias("n_blocks")).where("n_blocks > 1").select("a")
-    told = blocks.join(split.withColumn("split_", F.lit(True)), "a", "left").where("n_occ > 1 or split_").select("a", "b", "c", "first_", F.coalesce("split_", F.lit(False)).alias("split_"))
-    met = materialize(seeds.join(told, ["a", "b", "c"]).select("id_", "k1_", "k2_", "s", "n", (F.col("first_") < F.col("id_")).alias("earlier_"), "split_"), "met")
-    whole = met.where("earlier_").select("k1_", "k2_", F.col("s"), (F.col("s") + F.col("n") - 1 + window).cast("int").alias("e"))
+    row = ["id_", "k1_"]  # a row's id with a hash of id and text; rows without id get no spans, so they need no key
+    base = docs.select(F.col(key).alias("id_"), row_hash(key, text)[0].alias("k1_"), F.col(text).alias("text_"))
+    scanned = materialize(arrow_map(base, _scan(window, seed), f"id_ {id_type}, k1_ long, z_ binary, anchors_ array<{ANCHOR}>"), "anchors")
+    seeds = scanned.where("id_ is not null and size(anchors_) > 0").select(*row, F.explode("anchors_").alias("x")).select(*row, "x.*")
+
+    # Only anchors that several documents have matter.  If all their blocks are equal, all but the first are repeats whole.
+    shared = seeds.groupBy("a").agg(F.min("id_").alias("first_"), F.max("id_").alias("last_"), (F.min("b") != F.max("b")).alias("split_")).where("first_ < last_").drop("last_")
+    met = materialize(seeds.join(shared, "a").withColumn("earlier_", F.expr("first_ < id_ and not split_")).where("split_ or earlier_").select(*row, "a", "b", "s", "n", "split_"), "met")
+    blocks = met.where("split_").groupBy("a", "b").agg(F.min("id_").alias("first_"), F.max("id_").alias("last_")).where("first_ < last_").drop("last_")
+    told = materialize(met.where("split_").join(blocks, ["a", "b"], "left").select(*row, "s", "n", F.coalesce(F.expr("first_ < id_"), F.lit(False)).alias("earlier_")), "told")
+    whole = met.where("not split_").select(*row, "s", "n").unionByName(told.where("earlier_").select(*row, "s", "n")).select(*row, "s", (F.col("s") + F.col("n") - 1 + window).cast("int").alias("e"))
 
     # Windows of the first occurrence of blocks that differ under one anchor.
-    edges = met.where("split_ and not coalesce(earlier_, false) and id_ is not null").groupBy("k1_", "k2_").agg(F.collect_set(F.struct("s", "n")).alias("edges_"))
-    texts = base.join(edges, ["k1_", "k2_"]).select("id_", "k1_", "k2_", "text_", "edges_")
-    windows = materialize(arrow_map(texts, _windows(window), f"id_ {id_type}, k1_ long, k2_ long, s int, w1 long, w2 int"), "windows")
+    edges = told.where("not earlier_").groupBy(*row).agg(F.collect_set(F.struct("s", "n")).alias("edges_"))
+    texts = scanned.select(*row, "z_").join(edges, row)
+    windows = materialize(arrow_map(texts, _windows(window), f"id_ {id_type}, k1_ long, s int, w1 long, w2 int"), "windows")
     firsts = windows.groupBy("w1", "w2").agg(F.min("id_").alias("first_"), F.max("id_").alias("last_")).where("first_ < last_").drop("last_")
-    single = windows.join(firsts, ["w1", "w2"]).where("first_ < id_").select("k1_", "k2_", "s", (F.col("s") + window).alias("e"))
+    single = windows.join(firsts, ["w1", "w2"]).where("first_ < id_").select(*row, "s", (F.col("s") + window).alias("e"))
 
-    full = copies.select("k1_", "k2_", F.lit(0).alias("s"), F.col("n_words_").cast("int").alias("e"))
-    spans = whole.unionByName(single).unionByName(full).groupBy("k1_", "k2_").agg(F.collect_set(F.struct("s", "e")).alias("spans_"))
-    cut = base.join(spans, ["k1_", "k2_"], "left").select("id_", "text_", "spans_")
+    spans = whole.unionByName(single).groupBy(*row).agg(F.collect_set(F.struct("s", "e")).alias("spans_"))
+    cut = scanned.select(*row, "z_").join(spans, row, "left").select("id_", "z_", "spans_")
     return arrow_map(cut, _cut, f"id_ {id_type}, n_words long, n_removed long, spans array<struct<s:int,e:int>>, kept_text string").withColumnRenamed("id_", key)
