@@ -353,7 +353,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     named = signed.select("id_", "k1_", "k2_", F.col("node_").alias("node")).join(comp, "node", "left")
     alone = F.concat(F.lit(b""), F.encode(F.concat_ws(":", F.lit("row"), "k1_", "k2_"), "UTF-8"))
     named = named.withColumn("class_", F.coalesce("comp", "node", alone))
-    classes = named.groupBy("class_").agg(F.min("id_").alias("class_id"), F.count_distinct("node").alias("n_texts"))
+    # Written, so that the join reads both sides from exchanges and Spark can split a large class.
+    per_node = named.groupBy("class_", "node").agg(F.min("id_").alias("least"))
+    classes = materialize(per_node.groupBy("class_").agg(F.min("least").alias("class_id"), F.count("node").alias("n_texts")), "classes")
     return named.join(classes, "class_").select(F.col("id_").alias(key), "class_id", "n_texts", "k1_", "k2_", "class_")
 
 
