@@ -8,19 +8,25 @@ from pyspark.sql import functions as F
 from .common import drop_materialized, materialize
 
 
+#: Parents looked up in one job.
+STRIDE = 3
+
+
 def roots(forest: DataFrame) -> DataFrame:
     """(node, up) with the root above each node, from one parent ``up`` for a node and no cycles.
 
-    A root itself has no row.  Each round replaces a parent by its parent, so that paths
-    shorten by half; a round makes one row a node.
+    A root itself has no row.  Each round goes up ``STRIDE`` parents, so that paths shorten to
+    a quarter; a round makes one row a node.
     """
-    spark, now = forest.sparkSession, materialize(forest.select("node", "up"), "forest")
+    now = forest.select("node", "up")
     while True:
-        over = now.select(F.col("node").alias("up"), F.col("up").alias("over"))
-        new = materialize(now.join(over, "up", "left").select("node", F.coalesce("over", "up").alias("up"), F.col("over").isNotNull().alias("moved")), "forest")
-        drop_materialized(spark, now)
+        new = now
+        for _ in range(STRIDE):
+            over = now.select(F.col("node").alias("up"), F.col("up").alias("over"))
+            new = new.join(over, "up", "left").select("node", F.coalesce("over", "up").alias("up"), F.col("over").isNotNull().alias("moved"))
+        new = materialize(new, "forest")
         now = new.select("node", "up")
-        if not new.where("moved").limit(1).count():
+        if not new.where("moved").head(1):
             return now
 
 
@@ -39,14 +45,14 @@ def join_labels(labels: DataFrame, links: DataFrame, a: str = "a", b: str = "b")
             edges = edges.join(to.select(F.col(node).alias(side), F.col(comp).alias("to_")), side, "left").withColumn(side, F.coalesce("to_", side)).drop("to_")
         return materialize(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
 
-    edges = between(links.select(F.col(a).alias("a"), F.col(b).alias("b")), labels, "node", "comp")
-    while edges.limit(1).count():
-        to = roots(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")))
-        labels = materialize(labels.join(to.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
+    edges, changed = between(links.select(F.col(a).alias("a"), F.col(b).alias("b")), labels, "node", "comp"), False
+    while edges.head(1):
+        to, changed = roots(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))), True
+        labels = labels.join(to.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
         rest = between(edges, to, "node", "up")
         drop_materialized(spark, edges)
         edges = rest
-    return labels
+    return materialize(labels, "labels") if changed else labels
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -45,7 +45,7 @@ class Settings:
     idf_share: float = 0.05
     #: Nodes of a block, and pairs of a node with one component that a first round verifies.
     block: int = 2048
-    first_pairs: int = 4
+    first_pairs: int = 16
     seed: int = 11
 
 
@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
         strays = known.groupBy("bucket").agg(F.count_if(F.col("comp_node") != F.col("comp_leader")).alias("n_strays")).where("n_strays > 0")
         open_ = materialize(known.join(strays, "bucket").select("bucket", "node", "leader", "n", "n_strays", F.col("comp_node").alias("comp"), (F.col("comp_node") != F.col("comp_leader")).alias("stray")), "open")
         if facts is None:
-            if not open_.limit(1).count():
+            if not open_.head(1):
                 break
             # Bounds need every node's overlap with the leader of its bucket.
             pairs = open_.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
@@ -346,9 +346,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
         known_pairs = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = verified(pairs.where("a is not null").join(known_pairs, ["a", "b"], "left_anti"))
         comp, checked = join_labels(comp, more.where(linked)), checked.unionByName(more)
-        if not pairs.where("a is null").limit(1).count():
+        if not pairs.where("a is null").head(1):
             break
-        most_pairs *= 4
+        most_pairs *= 16
 
     named = signed.select("id_", "k1_", "k2_", F.col("node_").alias("node")).join(comp, "node", "left")
     alone = F.concat(F.lit(b""), F.encode(F.concat_ws(":", F.lit("row"), "k1_", "k2_"), "UTF-8"))
