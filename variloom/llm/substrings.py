@@ -149,9 +149,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     seeds = scanned.where("id_ is not null and size(anchors_) > 0").select(*row, F.explode("anchors_").alias("x")).select(*row, "x.*")
 
     # Only anchors that several documents have matter.  If all their blocks are equal, all but the first are repeats whole.
-    shared = seeds.groupBy("a").agg(F.min("id_").alias("first_"), F.max("id_").alias("last_"), (F.min("b") != F.max("b")).alias("split_")).where("first_ < last_").drop("last_")
+    # Sides of joins that come from aggregates are written first: Spark splits a hot key only between plain exchanges.
+    shared = materialize(seeds.groupBy("a").agg(F.min("id_").alias("first_"), F.max("id_").alias("last_"), (F.min("b") != F.max("b")).alias("split_")).where("first_ < last_").drop("last_"), "shared")
     met = materialize(seeds.join(shared, "a").withColumn("earlier_", F.expr("first_ < id_ and not split_")).where("split_ or earlier_").select(*row, "a", "b", "s", "n", "split_"), "met")
-    blocks = met.where("split_").groupBy("a", "b").agg(F.min("id_").alias("first_"), F.max("id_").alias("last_")).where("first_ < last_").drop("last_")
+    blocks = materialize(met.where("split_").groupBy("a", "b").agg(F.min("id_").alias("first_"), F.max("id_").alias("last_")).where("first_ < last_").drop("last_"), "blocks")
     told = materialize(met.where("split_").join(blocks, ["a", "b"], "left").select(*row, "s", "n", F.coalesce(F.expr("first_ < id_"), F.lit(False)).alias("earlier_")), "told")
     whole = met.where("not split_").select(*row, "s", "n").unionByName(told.where("earlier_").select(*row, "s", "n")).select(*row, "s", (F.col("s") + F.col("n") - 1 + window).cast("int").alias("e"))
 
@@ -159,7 +160,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     edges = told.where("not earlier_").groupBy(*row).agg(F.collect_set(F.struct("s", "n")).alias("edges_"))
     texts = scanned.select(*row, "z_").join(edges, row)
     windows = materialize(arrow_map(texts, _windows(window), f"id_ {id_type}, k1_ long, s int, w1 long, w2 int"), "windows")
-    firsts = windows.groupBy("w1", "w2").agg(F.min("id_").alias("first_"), F.max("id_").alias("last_")).where("first_ < last_").drop("last_")
+    firsts = materialize(windows.groupBy("w1", "w2").agg(F.min("id_").alias("first_"), F.max("id_").alias("last_")).where("first_ < last_").drop("last_"), "firsts")
     single = windows.join(firsts, ["w1", "w2"]).where("first_ < id_").select(*row, "s", (F.col("s") + window).alias("e"))
 
     spans = whole.unionByName(single).groupBy(*row).agg(F.collect_set(F.struct("s", "e")).alias("spans_"))
