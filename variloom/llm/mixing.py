@@ -294,10 +294,10 @@ class Model:
         np.exp(dot, out=dot)
         dot += np.float32(1)
         np.reciprocal(dot, out=dot)
-        dot += fix  # the probability of a 1
+        dot += fix  # the probability of a 1, kept off both ends so that those of 0 and 1 add up to 1
+        np.clip(dot, np.float32(1e-6), np.float32(1 - 1e-6), out=dot)
         np.subtract(np.float32(1) - bit, dot, out=dot)
         np.abs(dot, out=dot)
-        np.maximum(dot, np.float32(1e-6), out=dot)
         np.log(dot, out=dot)
         return dot
 
