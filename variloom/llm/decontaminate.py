@@ -4,8 +4,8 @@ A window is ``size`` consecutive words of a benchmark item, or a whole shorter i
 cuts each document into blocks of half a window's words: any window that occurs contains a
 whole block, so looking up one hash per block, not per word, misses nothing.  Around a block
 that is known, the windows themselves are looked up by their words, which verifies the hit.
-The hash set of the benchmark is broadcast only if it has at most ``broadcast_rows`` rows;
-beyond that the lookups are shuffled joins.  No text is shuffled but the words around known
+The benchmark's hash set and windows are broadcast only within a bound on rows and bytes;
+beyond it the lookups are shuffled joins.  No text is shuffled but the words around known
 blocks.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, row_hash
+from .common import fresh, materialize, row_hash
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -36,26 +36,31 @@ def _block(length: int) -> int:
     return (length + 1) // 2
 
 
-def _benchmark(items: DataFrame, item: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
-    """Windows (size_, window_, items_) and the hashes of all their blocks (size_, h_)."""
+def _benchmark(items: DataFrame, item: str, text: str, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Windows (size_, window_, w_id_), the items of each (w_id_, item_), and the hashes of all their blocks (size_, h_)."""
     w = items.select(F.col(item).alias("item_"), words(F.col(text)).alias("words_")).where(F.size("words_") > 0)
     w = w.withColumn("size_", F.least(F.lit(size), F.size("words_")))
-    each = w.select("item_", "size_", F.explode(F.transform(_steps(F.size("words_") - F.col("size_") + 1), lambda i: F.slice("words_", i + 1, F.col("size_")))).alias("w_"))
-    windows = each.groupBy("size_", F.array_join("w_", " ").alias("window_")).agg(F.collect_set("item_").alias("items_"))
+    each = w.select("item_", "size_", F.explode(F.transform(_steps(F.size("words_") - F.col("size_") + 1), lambda i: F.array_join(F.slice("words_", i + 1, F.col("size_")), " "))).alias("window_"))
+    each = each.withColumn("w_id_", F.xxhash64("size_", "window_"))
     g = F.floor((F.col("size_") + 1) / 2).cast("int")
     blocks = w.select("size_", F.explode(F.transform(_steps(F.size("words_") - g + 1), lambda i: F.xxhash64(F.slice("words_", i + 1, g)))).alias("h_")).distinct()
-    return windows, blocks
+    return each.select("size_", "window_", "w_id_").distinct(), each.where("item_ is not null").select("w_id_", "item_").distinct(), blocks
 
 
-def window_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 13, broadcast_rows: int = 2_000_000) -> DataFrame:
+def window_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 13, broadcast_rows: int = 2_000_000, broadcast_bytes: int = 100_000_000) -> DataFrame:
     """Per distinct text with a hit (text column as ``k1_``, ``k2_`` of ``row_hash(text)``): windows found.
 
     Columns: k1_, k2_, windows_ (array of start, length in words), items_ (array of item ids).
+    Each of the benchmark's tables is broadcast only within ``broadcast_rows`` and ``broadcast_bytes``.
     """
-    windows, blocks = _benchmark(benchmark, item, item_text, size)
+    windows, of_items, blocks = (materialize(t, name) for t, name in zip(_benchmark(benchmark, item, item_text, size), ("windows", "window-items", "blocks"), strict=True))
     sizes = [r[0] for r in windows.select("size_").distinct().collect()]  # at most ``size`` rows
-    if blocks.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        windows, blocks = F.broadcast(windows), F.broadcast(blocks)
+
+    def small(t: DataFrame, width: Column) -> DataFrame:
+        n, n_bytes = t.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+        return F.broadcast(t) if n <= broadcast_rows and n_bytes <= broadcast_bytes else t
+
+    windows, blocks = small(windows, F.octet_length("window_") + 40), small(blocks, F.lit(40))
     k1, k2 = row_hash(text)
     split = docs.select(k1.alias("k1_"), k2.alias("k2_"), words(F.col(text)).alias("words_"))
 
@@ -74,9 +79,14 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     parts = split.select("k1_", "k2_", F.explode(F.concat(*(known(s) for s in sizes or [size]))).alias("b_")).select("k1_", "k2_", "b_.*")
     near = parts.join(blocks, ["size_", "h_"], "left_semi")
     each = near.select("k1_", "k2_", "size_", F.posexplode(F.transform(_steps(F.size("around_") - F.col("size_") + 1), lambda i: F.array_join(F.slice("around_", i + 1, F.col("size_")), " "))).alias("at_", "window_"), "first_")
-    found = each.join(windows, ["size_", "window_"]).select("k1_", "k2_", F.struct((F.col("first_") + F.col("at_")).alias("start"), F.col("size_").alias("length")).alias("w_"), "items_")
+    found = each.join(windows, ["size_", "window_"]).select("k1_", "k2_", F.struct((F.col("first_") + F.col("at_")).alias("start"), F.col("size_").alias("length")).alias("w_"), "w_id_")
     # A document's hits are bounded by its words; repeats of the same text add equal windows, which the set drops.
-    return found.groupBy("k1_", "k2_").agg(F.collect_set("w_").alias("windows_"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items_")))).alias("items_"))
+    found = materialize(found.groupBy("k1_", "k2_").agg(F.collect_set("w_").alias("windows_"), F.collect_set("w_id_").alias("w_ids_")), "hits")
+    named = found.select("k1_", "k2_", F.explode("w_ids_").alias("w_id_")).join(of_items, "w_id_").select("k1_", "k2_", "item_").distinct()
+    named = named.groupBy("k1_", "k2_").agg(F.array_sort(F.collect_set("item_")).alias("items_"))
+    empty = F.array().cast(named.schema["items_"].dataType)
+    # Written, so that the joins to come read plain exchanges, which Spark splits where many rows share a text.
+    return materialize(found.join(named, ["k1_", "k2_"], "left").select("k1_", "k2_", "windows_", F.coalesce("items_", empty).alias("items_")), "hit-items")
 
 
 def _covered(windows: Column) -> Column:
