@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Seeds are the matches of fixed patterns for mail addresses, IP addresses, card and phone
-numbers.  Identifier-like tokens are candidates; what stands before one (one word, two words,
+numbers, and tokens shaped like keys.  Identifier-like tokens are candidates; what stands before one (one word, two words,
 or a ``name=`` within the token) are its lexical patterns.  A pattern's score is the share of
 its occurrences whose instances are believed to be identifiers, and an instance is believed
 as much as its best pattern (seeds fully); the two are computed in turns over the graph of
@@ -23,6 +23,9 @@ SEEDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 FOUND = "context"
+#: Tokens of such a shape (long, of letters and digits both) are seeds as well: keys and secrets.
+#: They are found, as all others, only where a pattern of high score introduces them.
+KEY_SHAPE = r"^(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])[A-Za-z0-9_+/=-]{20,}$"
 KINDS = (*SEEDS, FOUND)
 #: A run of non-white characters with a digit.
 TOKEN = r"[^\s0-9]*+[0-9]\S*+"
@@ -39,20 +42,39 @@ def _parts(text: Column, pattern: str, guard: Column) -> Column:
     return F.when(guard, F.split(F.regexp_replace(clean, pattern, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]"))
 
 
-def _ends(parts: Column) -> Column:
-    """Where each part ends, in code points."""
-    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
+#: Parts whose ends are summed up together.
+STRETCH = 256
+
 
-    def step(acc: Column, part: Column) -> Column:
-        total = acc["sum"] + F.length(part)
-        return F.struct(total.alias("sum"), F.concat(acc["all"], F.array(total)).alias("all"))
+def _ends(parts: Column) -> Column:
+    """Where each part ends, in code points; sums run within stretches of parts, then over them."""
+    def running(lengths: Column, first: Column) -> Column:
+        start = F.struct(first.alias("sum"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(lengths, start, lambda acc, n: F.struct((acc["sum"] + n).alias("sum"), F.concat(acc["all"], F.array(acc["sum"] + n)).alias("all")))["all"]
 
-    return F.aggregate(parts, start, step)["all"]
+    lengths = F.transform(parts, lambda p: F.length(p))
+    stretch = lambda c: F.slice(lengths, c * STRETCH + 1, F.lit(STRETCH))
+    cuts = _steps(F.ceil(F.size(parts) / STRETCH).cast("int"))
+    sums = running(F.transform(cuts, lambda c: F.aggregate(stretch(c), F.lit(0), lambda a, n: a + n)), F.lit(0))
+    return F.flatten(F.transform(cuts, lambda c: running(stretch(c), F.coalesce(F.get(sums, c - 1), F.lit(0)))))
 
 
 def _spans(parts: Column, ends: Column) -> Column:
-    one = lambda i: F.struct(F.get(ends, 2 * i).alias("start"), F.get(ends, 2 * i + 1).alias("end"), F.get(parts, 2 * i + 1).alias("value"), F.get(parts, 2 * i).alias("before"))
-    return F.coalesce(F.transform(_steps(F.floor(F.size(parts) / 2).cast("int")), one), F.array().cast("array<struct<start:int,end:int,value:string,before:string>>"))
+    one = lambda i: F.struct(F.get(ends, 2 * i).alias("start"), F.get(ends, 2 * i + 1).alias("end"), F.get(parts, 2 * i + 1).alias("value"))
+    return F.coalesce(F.transform(_steps(F.floor(F.size(parts) / 2).cast("int")), one), F.array().cast("array<struct<start:int,end:int,value:string>>"))
+
+
+def _tokens(parts: Column, ends: Column) -> Column:
+    """Spans with the last word before them (w1) and the one before that (w2), empty where there is none."""
+
+    def one(i: Column) -> Column:
+        # Two tokens back at most lie two words; reversed, the words before come first.
+        before = F.concat(*(F.coalesce(F.get(parts, 2 * i - k), F.lit("")) for k in (4, 3, 2, 1, 0)))
+        back = F.reverse(before)
+        word = lambda pattern: F.reverse(F.regexp_extract(back, pattern, 1))
+        return F.struct(F.get(ends, 2 * i).alias("start"), F.get(ends, 2 * i + 1).alias("end"), F.get(parts, 2 * i + 1).alias("value"), word(r"^\s++(\S++)").alias("w1"), word(r"^\s++\S++\s++(\S++)").alias("w2"))
+
+    return F.coalesce(F.transform(_steps(F.floor(F.size(parts) / 2).cast("int")), one), F.array().cast("array<struct<start:int,end:int,value:string,w1:string,w2:string>>"))
 
 
 def _digits(value: Column) -> Column:
@@ -92,7 +114,7 @@ def _scanned(docs: DataFrame, key: str, text: str) -> DataFrame:
     rest = ["id_", "k1_", "k2_"]
     df = df.select(*rest, *(_parts(F.col("t_"), p, guards[k]).alias(f"p_{k}") for k, p in patterns.items()))
     df = df.select("*", *(_ends(F.col(f"p_{k}")).alias(f"e_{k}") for k in patterns))
-    df = df.select(*rest, *(_spans(F.col(f"p_{k}"), F.col(f"e_{k}")).alias(f"s_{k}") for k in patterns))
+    df = df.select(*rest, *((_tokens if k == "token" else _spans)(F.col(f"p_{k}"), F.col(f"e_{k}")).alias(f"s_{k}") for k in patterns))
     base = [_valid(F.col(f"s_{kind}"), kind) for kind in SEEDS]
     return df.select(*rest, F.array_sort(F.concat(*base)).alias("base_"), F.col("s_token").alias("tokens_"))
 
@@ -102,7 +124,7 @@ def _candidates(scanned: DataFrame) -> DataFrame:
     df = scanned.where(F.size("tokens_") > 0).select("k1_", "k2_", "base_", F.explode("tokens_").alias("t"))
     lead = F.regexp_extract(F.col("t.value"), r"""^(?:[A-Za-z][A-Za-z_-]*[=:])?["'(\[<]*""", 0)
     tail = F.regexp_extract(F.col("t.value"), r"""["')\]>.,;:!?]*$""", 0)
-    df = df.select("k1_", "k2_", "base_", (F.col("t.start") + F.length(lead)).alias("start"), (F.col("t.end") - F.length(tail)).alias("end"), F.col("t.value").alias("v"), lead.alias("lead"), tail.alias("tail"), F.regexp_extract(F.substring(F.col("t.before"), -80, 80), r"(\S+)\s+(\S+)\s+$", 1).alias("w2"), F.regexp_extract(F.substring(F.col("t.before"), -80, 80), r"(\S+)\s+$", 1).alias("w1"))
+    df = df.select("k1_", "k2_", "base_", (F.col("t.start") + F.length(lead)).alias("start"), (F.col("t.end") - F.length(tail)).alias("end"), F.col("t.value").alias("v"), lead.alias("lead"), tail.alias("tail"), "t.w1", "t.w2")
     core = F.expr("substring(v, length(lead) + 1, length(v) - length(lead) - length(tail))")
     name = F.regexp_extract("lead", r"^([A-Za-z][A-Za-z_-]*[=:])", 1)
     patterns = F.array_compact(F.array(
@@ -110,26 +132,38 @@ def _candidates(scanned: DataFrame) -> DataFrame:
         F.when((name == "") & (F.col("w1") != ""), F.concat(F.lit("one "), F.lower("w1"))),
         F.when((name == "") & (F.col("w2") != ""), F.concat(F.lit("two "), F.lower("w2"), F.lit(" "), F.lower("w1"))),
     ))
-    seed = F.exists("base_", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    df = df.select("k1_", "k2_", "start", "end", F.lower(core).alias("instance"), seed.alias("seed"), patterns.alias("patterns"))
+    known = F.exists("base_", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
+    seed = known | core.rlike(KEY_SHAPE)
+    df = df.select("k1_", "k2_", "start", "end", F.lower(core).alias("instance"), known.alias("known"), seed.alias("seed"), patterns.alias("patterns"))
     likely = (F.length("instance") >= 5) & (F.length(_digits(F.col("instance"))) >= 2)
     return df.where((likely | F.col("seed")) & (F.size("patterns") > 0))
 
 
-def bootstrap(candidates: DataFrame, rounds: int = 3) -> DataFrame:
-    """Patterns with their score and support (distinct instances)."""
+def bootstrap(candidates: DataFrame, rounds: int = 10, still: float = 0.005) -> DataFrame:
+    """Patterns with their score and support (distinct instances).
+
+    Beliefs and scores only rise from round to round; rounds end when no score moves by more
+    than ``still``, after ``rounds`` at the latest.
+    """
     edges = candidates.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     edges = materialize(edges, "pattern-edges")
-    belief = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("belief"))
-    patterns = None
+    seeds = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("seed"))
+    belief, patterns = materialize(seeds.withColumnRenamed("seed", "belief"), "beliefs"), None
     for _ in range(rounds):
-        patterns = materialize(edges.join(belief, "instance").groupBy("pattern").agg((F.sum(F.col("n") * F.col("belief")) / (F.sum("n") + 1)).alias("score"), F.count("*").alias("support")), "patterns")
+        scored = edges.join(belief, "instance").groupBy("pattern").agg((F.sum(F.col("n") * F.col("belief")) / (F.sum("n") + 1)).alias("score"), F.count("*").alias("support"))
+        if patterns is not None:
+            scored = scored.join(patterns.select("pattern", F.col("score").alias("old")), "pattern").withColumn("moved", F.col("score") - F.col("old"))
+        new = materialize(scored, "patterns")
+        done = patterns is not None and not new.where(F.col("moved") > still).head(1)
+        patterns = new.select("pattern", "score", "support")
+        if done:
+            break
         best = edges.join(patterns.where("support > 1"), "pattern").groupBy("instance").agg(F.max("score").alias("best"))
-        belief = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("seed")).join(best, "instance", "left").select("instance", F.greatest("seed", F.coalesce("best", F.lit(0.0))).alias("belief"))
+        belief = materialize(seeds.join(best, "instance", "left").select("instance", F.greatest("seed", F.coalesce("best", F.lit(0.0))).alias("belief")), "beliefs")
     return patterns
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 3, least_score: float = 0.7, least_support: int = 3) -> DataFrame:
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 10, least_score: float = 0.7, least_support: int = 3) -> DataFrame:
     """One row per row of ``docs``: key, k1_, k2_ (``row_hash`` of the text), base (seed spans), spans (all).
 
     A span has start, order (of its kind), end, kind; places are code points, the end
@@ -139,15 +173,16 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int =
     scanned = materialize(_scanned(docs, key, text), "scanned")
     candidates = materialize(_candidates(scanned), "candidates")
     good = bootstrap(candidates, rounds).where((F.col("score") >= least_score) & (F.col("support") >= least_support)).select("pattern")
-    new = candidates.where(~F.col("seed")).select("k1_", "k2_", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern")
+    new = candidates.where(~F.col("known")).select("k1_", "k2_", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern")
     span = F.struct("start", F.lit(len(SEEDS)).alias("order"), "end", F.lit(FOUND).alias("kind"))
-    new = new.groupBy("k1_", "k2_").agg(F.collect_set(span).alias("new_"))
+    # Written, so that the join reads plain exchanges, which Spark splits where many rows share a text.
+    new = materialize(new.groupBy("k1_", "k2_").agg(F.collect_set(span).alias("new_")), "found")
     out = scanned.select("id_", "k1_", "k2_", "base_").join(new, ["k1_", "k2_"], "left")
     spans = F.when(F.col("new_").isNull(), F.col("base_")).otherwise(F.array_sort(F.concat("base_", F.col("new_").cast(scanned.schema["base_"].dataType))))
     return out.select(F.col("id_").alias(key), "k1_", "k2_", F.col("base_").alias("base"), spans.alias("spans"))
 
 
-def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 3, least_score: float = 0.7, least_support: int = 3) -> DataFrame:
+def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 10, least_score: float = 0.7, least_support: int = 3) -> DataFrame:
     """``docs`` with its columns, each span in the text replaced by its kind in brackets.
 
     Spans that overlap go as one, under the name of the first.
