@@ -9,7 +9,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from variloom.plans.queries import QUERIES
+from variloom.plans.all import QUERIES
 
 HEADLINE = (
     "interval_merge", "interval_overlap_join", "interval_annotate", "interval_intersect", "filter_include_regions", "filter_density_window", "filter_remove_overlapping",

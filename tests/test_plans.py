@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from variloom.plans.queries import ORACLE_SQL, QUERIES
+from variloom.plans.all import ORACLE_SQL, QUERIES
 
 
 def rows(df: pd.DataFrame) -> list[str]:

@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import alleles as A
 from ..functions import annotations as X
 from ..operators import filters, inheritance, intervals, merging, neighbours, pedigree, reads, roc, stats, structural
-from .lenses import frame, oracle
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = oracle(sql)
-        return f
-
-    return add
+from ..streaming import ordered
+from .lenses import frame
+from .registry import query
 
 
 def _stop(df: DataFrame) -> DataFrame:
@@ -212,11 +198,6 @@ def variant_statistics(spark, sf):
     return stats.per_sample(_samples(frame(spark, sf, "records"))).select("sample", "missing", "unchanged", "variant", "phased", "haploid", "hom", "het")
 
 
-@query()
-def variant_statistics_by_type(spark, sf):
-    return stats.with_ratios(stats.per_sample(_samples(frame(spark, sf, "records"))))
-
-
 @query("""
 WITH a AS (SELECT seq, start, stop FROM {loci} WHERE start % 3 < 2), b AS (SELECT seq, start, stop FROM {loci} WHERE start % 3 > 0)
 SELECT CASE WHEN b.seq IS NULL THEN 'first_only' WHEN a.seq IS NULL THEN 'second_only' WHEN a.stop = b.stop THEN 'same' ELSE 'different' END AS outcome, count(*) AS n FROM a FULL JOIN b ON a.seq = b.seq AND a.start = b.start GROUP BY 1""")
@@ -284,18 +265,6 @@ def roc_best_threshold(spark, sf):
     return roc.best_f_measure(points, ("subset",)).select("subset", "score", "tp", "fp")
 
 
-@query()
-def roc_slope(spark, sf):
-    return roc.hull_slope(roc.curve(frame(spark, sf, "calls"), ("subset",)), ("subset",))
-
-
-@query()
-def roc_area(spark, sf):
-    calls = frame(spark, sf, "calls")
-    totals = calls.groupBy("subset").agg(F.sum("tp").alias("n"))
-    return roc.precision_recall_area(roc.metrics(roc.curve(calls, ("subset",)).join(totals, "subset"), F.col("n")), ("subset",))
-
-
 # ------------------------------------------------------------------ structural
 
 
@@ -447,12 +416,6 @@ def trim_reads(spark, sf):
     return reads.trim(df, first=2, last=2, revcomp=True).select("seq_id", "residues")
 
 
-@query()
-def trim_reads_quality(spark, sf):
-    df = frame(spark, sf, "reads").withColumn("quals", F.transform(F.sequence(F.lit(1), F.length("residues")), lambda i: (i * 7) % 40))
-    return reads.trim(df, start_quality=20, end_quality=20, min_length=3, discard_empty=True).select("seq_id", "residues")
-
-
 # ------------------------------------------------------------------ more filters, annotations and projections
 
 
@@ -547,19 +510,8 @@ def genotype_predicates(spark, sf):
     return df.select("row_id", F.size(F.filter(F.array("g1", "g2", "g3"), lambda a: a == 1)).alias("ones"), A.is_variant(gt).alias("variant"), A.is_het(gt).alias("het"), A.is_missing(gt).alias("missing"))
 
 
-@query("SELECT CAST(min(row_id) AS BIGINT) AS first, len(alts) AS n, count(*) AS rows FROM {records} GROUP BY len(alts)")
-def allele_count_summary(spark, sf):
-    return frame(spark, sf, "records").groupBy(F.size("alts").cast("long").alias("n")).agg(F.min("row_id").alias("first"), F.count("*").alias("rows"))
-
-
-@query("SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
-def grouping_sets(spark, sf):
-    df = spark.read.parquet(f"{sf}/lineitem.parquet")
-    return df.rollup(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("suppliers"))
-
-
 @query("SELECT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, count(*) AS n FROM events GROUP BY ALL")
 def window_tumbling(spark, sf):
-    df = spark.read.parquet(f"{sf}/events.parquet")
-    w = F.window(F.col("ts").cast("timestamp"), "1 hour")
-    return df.groupBy("user_id", w).agg(F.count("*").alias("n")).select("user_id", F.floor(F.unix_timestamp("window.start") / 3600).alias("hour"), "n")
+    df = spark.read.parquet(f"{sf}/events.parquet").withColumn("time", F.col("ts").cast("timestamp"))
+    tiles = ordered.tumbling(df, 1, ("user_id",), "time", "hours")
+    return tiles.select("user_id", F.floor(F.unix_timestamp("start") / 3600).alias("hour"), "n")

@@ -1,7 +1,8 @@
 """Streams of records ordered by place or time, as Structured Streaming.
 
-A position takes the place of event time: base n of a sequence is second n after the epoch, so
-that watermarks, windows and late rows work on positions as they do on clocks.
+A position takes the place of event time: base n of a sequence is second n + 1 after the epoch,
+so that watermarks, windows and late rows work on positions as they do on clocks (a stream's
+first watermark is the epoch itself, and what does not lie after it is late).
 """
 
 from __future__ import annotations
@@ -14,8 +15,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+#: Second of base 0.
+FIRST = 1
+
+
 def position_time(start: Column) -> Column:
-    return F.timestamp_seconds(start)
+    return F.timestamp_seconds(start + FIRST)
+
+
+def _edges(window: str, time: str) -> list[Column]:
+    """Start and stop of a window; of positions, as seconds that count from 0."""
+    shift = F.expr(f"INTERVAL {FIRST if time == 'ptime' else 0} SECONDS")
+    return [(F.col(f"{window}.start") - shift).alias("start"), (F.col(f"{window}.end") - shift).alias("stop")]
+
+
+def _window(time: str, width: int, step: int, unit: str) -> Column:
+    return F.window(time, f"{width} {unit}", f"{step} {unit}", f"{FIRST if time == 'ptime' else 0} seconds")
 
 
 def with_lateness(df: DataFrame, within: int = 10_000, start: str = "start") -> DataFrame:
@@ -24,20 +39,18 @@ def with_lateness(df: DataFrame, within: int = 10_000, start: str = "start") ->
 
 
 def tumbling(df: DataFrame, width: int, by: tuple[str, ...] = ("seq",), time: str = "ptime", unit: str = "seconds") -> DataFrame:
-    """Counts and value sums per tile of ``width``."""
-    w = F.window(time, f"{width} {unit}")
-    return df.groupBy(*by, w).agg(F.count("*").alias("n")).select(*by, F.col("window.start").alias("start"), F.col("window.end").alias("stop"), "n")
+    """Counts per tile of ``width``."""
+    return df.groupBy(*by, _window(time, width, width, unit)).agg(F.count("*").alias("n")).select(*by, *_edges("window", time), "n")
 
 
 def sliding(df: DataFrame, width: int, step: int, by: tuple[str, ...] = ("seq",), time: str = "ptime", unit: str = "seconds") -> DataFrame:
-    w = F.window(time, f"{width} {unit}", f"{step} {unit}")
-    return df.groupBy(*by, w).agg(F.count("*").alias("n")).select(*by, F.col("window.start").alias("start"), F.col("window.end").alias("stop"), "n")
+    return df.groupBy(*by, _window(time, width, step, unit)).agg(F.count("*").alias("n")).select(*by, *_edges("window", time), "n")
 
 
 def sessions(df: DataFrame, gap: int, by: tuple[str, ...] = ("seq",), time: str = "ptime", unit: str = "seconds") -> DataFrame:
     """Runs of rows with less than ``gap`` between neighbours."""
     w = F.session_window(time, f"{gap} {unit}")
-    return df.groupBy(*by, w).agg(F.count("*").alias("n")).select(*by, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "n")
+    return df.groupBy(*by, w).agg(F.count("*").alias("n")).select(*by, *_edges("session_window", time), "n")
 
 
 def drop_repeats(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
