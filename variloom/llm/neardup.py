@@ -86,7 +86,7 @@ def _frequencies(bits: int, k: int):
         total = np.zeros((1 << bits) + 1, dtype=np.int64)
         for batch in batches:
             total[-1] += len(batch)
-            for lo, hi in chunks(batch.column(0)):
+            for lo, hi in chunks(batch.column(0), 1 << 19):
                 s = shingles_of(batch.column(0).slice(lo, hi - lo), k)
                 total[:-1] += np.bincount((s.hash >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         used = np.flatnonzero(total)
@@ -148,7 +148,7 @@ def _sign(idf, settings: Settings):
         sampler = Sampler(settings)
         band_salt = mix(np.arange(1, settings.bands + 1, dtype=np.uint64))
         for batch in batches:
-            for lo, hi in chunks(batch.column("text_"), 1 << 20):
+            for lo, hi in chunks(batch.column("text_"), 1 << 19):
                 part = batch.slice(lo, hi - lo)
                 s = shingles_of(part.column("text_"), settings.shingle)
                 sig = sampler.sign(s, weights(s, idf.value))
