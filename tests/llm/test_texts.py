@@ -304,3 +304,37 @@ def test_texts_are_scored_alike_alone_and_beside_others():
     for order in (range(len(texts)), range(len(texts) - 1, -1, -1)):
         beside = L.document_probabilities(net, pa.array([texts[i] for i in order], pa.string()))
         assert np.allclose(beside, alone[list(order)], atol=1e-6)
+
+
+def test_probabilities_of_both_bits_add_up_to_one():
+    import numpy as np
+
+    from variloom.llm import mixing
+
+    rng = np.random.default_rng(1)
+    code = mixing.Code.of(rng.integers(0, 1 << 63, 50, dtype=np.uint64), rng.integers(1, 90, 50).astype(float), np.ones(50, bool), 3.0, 5.0, rng.integers(0, 9, 256).astype(float))
+    model = mixing.Model(code)
+    model.map += rng.integers(0, 1000, model.map.shape)
+    model.refresh()
+    node = rng.integers(0, len(code.stretch), 4000).astype(np.int32)
+    slots = [rng.integers(0, 1 << b, 4000) for b in code.bits]
+    model.weights = [w * 9 for w in model.weights]
+    p = [np.exp(model.cost(slots, node, np.full(4000, bit, np.uint8)).astype(float)) for bit in (0, 1)]
+    assert np.abs(p[0] + p[1] - 1).max() < 1e-5
+
+
+def test_keys_are_found_by_their_context(spark):
+    from variloom.llm import pii
+
+    rows = [(i, f"some words api_key = {i:02d}ab34cd56ef78ab90cd12ef34 and {i} others") for i in range(6)]
+    rows += [(10, "some words api_key = zq77! and others"), (11, "plain words 4711 and others"), (12, "in 2024 api_key is a word")]
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == ["context"] for i in range(6)) and not got[11] and not got[12]
+
+
+def test_many_tokens_in_one_text(spark):
+    from variloom.llm import pii
+
+    text = " ".join(f"w{i} 10.0.{i % 200}.{i % 250}" for i in range(3000))
+    r = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [text[s["start"] : s["end"]] for s in r["base"]] == [f"10.0.{i % 200}.{i % 250}" for i in range(3000)]

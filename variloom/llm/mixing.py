@@ -287,7 +287,7 @@ class Model:
         return np.clip(at, 0, MAP_STEPS - 1, out=at).astype(np.int8)
 
     def cost(self, slots, node, bit) -> np.ndarray:
-        """-ln of the probability given to each decision."""
+        """ln of the probability given to each decision."""
         _, _, dot = self.mix(slots, node)
         fix = self.corrected.take(self.place(dot))
         np.negative(dot, out=dot)

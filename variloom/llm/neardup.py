@@ -264,13 +264,8 @@ def _compare_blocks(settings: Settings, most_pairs: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """One row per row of ``docs``: key, class_id (least key of its class), n_texts (distinct texts of the class), k1_, k2_ (its ``row_hash``).
-
-    Classes are the components of the links at ``threshold`` or more.  Texts without a word
-    are each a class of their own; a class without any key has a null id; repeated rows share
-    a class; an empty table gives no rows.
-    """
+def _named(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
+    """One row per row of ``docs``: id_, k1_, k2_, node (null without words), class_ (a name of its class)."""
     id_type = docs.schema[key].dataType.simpleString()
     spark = docs.sparkSession
     k1, k2 = row_hash(key, text)
@@ -352,7 +347,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
 
     named = signed.select("id_", "k1_", "k2_", F.col("node_").alias("node")).join(comp, "node", "left")
     alone = F.concat(F.lit(b""), F.encode(F.concat_ws(":", F.lit("row"), "k1_", "k2_"), "UTF-8"))
-    named = named.withColumn("class_", F.coalesce("comp", "node", alone))
+    return named.select("id_", "k1_", "k2_", "node", F.coalesce("comp", "node", alone).alias("class_"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """One row per row of ``docs``: key, class_id (least key of its class), n_texts (distinct texts of the class), k1_, k2_ (its ``row_hash``).
+
+    Classes are the components of the links at ``threshold`` or more.  Texts without a word
+    are each a class of their own; a class without any key has a null id; repeated rows share
+    a class; an empty table gives no rows.
+    """
+    named = _named(docs, key, text, settings)
     # Written, so that the join reads both sides from exchanges and Spark can split a large class.
     per_node = named.groupBy("class_", "node").agg(F.min("id_").alias("least"))
     classes = materialize(per_node.groupBy("class_").agg(F.min("least").alias("class_id"), F.count("node").alias("n_texts")), "classes")
@@ -361,8 +366,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs``, with their columns, that stand for their class: the least key, one row."""
-    found = near_duplicates(docs, key, text, settings)
-    first = found.groupBy("class_").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "k1_", "k2_")).alias("f_")).select("f_.k1_", "f_.k2_")
+    named = _named(docs, key, text, settings)
+    first = named.groupBy("class_").agg(F.min(F.struct(F.col("id_").isNull().alias("none"), F.col("id_").alias("id"), "k1_", "k2_")).alias("f_")).select("f_.k1_", "f_.k2_")
     k1, k2 = row_hash(key, text)
     name1, name2 = "k1_", "k2_"
     while {name1, name2} & {c.lower() for c in docs.columns}:
