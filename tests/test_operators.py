@@ -250,3 +250,17 @@ def test_annotate_by_start_alone(spark):
     a = spark.createDataFrame([("c", 5, 50)], "seq string, start int, end int")
     b = spark.createDataFrame([("c", 0, 6, "x"), ("c", 20, 30, "y")], "seq string, start int, end int, label string")
     assert intervals.annotate(a, b, "label", "ids").first()["ids"] == ["x", "y"] and intervals.annotate(a, b, "label", "ids", whole=False).first()["ids"] == ["x"]
+
+
+def test_large_taxonomy_and_inbred_pedigree(spark):
+    from pyspark.sql import functions as F
+
+    from variloom.operators import pedigree as P
+
+    nodes = spark.range(1, 300_001).select(F.col("id").cast("int").alias("id"), F.when(F.col("id") == 1, -1).otherwise(F.floor(F.col("id") / 2)).cast("int").alias("parent"), F.lit("r").alias("rank"), F.lit("n").alias("name"))
+    assert P.subtree(nodes, [2]).count() + P.prune(nodes, [2]).count() == 300_000
+    assert sorted(r["id"] for r in P.subset(nodes, [9, 4]).collect()) == [1, 2, 4, 9]
+    people = spark.range(0, 60).select(F.col("id").cast("int").alias("id"))
+    # Everyone is a child of the two before: the paths are as many as Fibonacci numbers.
+    links = spark.createDataFrame([(i - k, i, P.PARENT) for i in range(2, 60) for k in (1, 2)] + [(1, None, P.PARENT)], "first int, second int, type string")
+    assert {r["id"]: r["generation"] for r in P.generations(people, links).collect()} == {i: max(0, i - 1) for i in range(60)}

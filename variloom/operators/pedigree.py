@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path
+
 PARENT, DERIVED = "PARENT_CHILD", "ORIGINAL_DERIVED"
 
 
@@ -39,17 +41,31 @@ def monogamous(fams: DataFrame) -> DataFrame:
     return who.groupBy("id").agg(F.count_distinct("partner").alias("partners"))
 
 
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """The frame written and reread, so that rounds don't repeat each other's work."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def generations(individuals: DataFrame, relationships: DataFrame) -> DataFrame:
-    """(id, generation): founders have 0, others one more than their deepest parent; families are processed in this order."""
-    spark = individuals.sparkSession
-    individuals.select("id").createOrReplaceTempView("ped_ids_")
-    relationships.where(F.col("type") == PARENT).select("first", "second").createOrReplaceTempView("ped_edges_")
-    return spark.sql("""
-        WITH RECURSIVE walk(id, depth) AS (
-            SELECT id, 0 FROM ped_ids_ WHERE id NOT IN (SELECT second FROM ped_edges_)
-            UNION ALL
-            SELECT e.second, w.depth + 1 FROM walk w JOIN ped_edges_ e ON e.first = w.id)
-        SELECT id, max(depth) AS generation FROM walk GROUP BY id""")
+    """(id, generation): founders have 0, others one more than their deepest parent; families are processed in this order.
+
+    One round for each generation; a round holds every individual once, however many paths
+    lead to it.  Relationships with a null end count for nothing; a cycle is an error.
+    """
+    edges = relationships.where((F.col("type") == PARENT) & F.col("first").isNotNull() & F.col("second").isNotNull()).select("first", "second").distinct()
+    level = individuals.select("id").distinct().join(edges.select(F.col("second").alias("id")).distinct(), "id", "left_anti")
+    most, depth, out = individuals.count(), 0, level.withColumn("depth", F.lit(0))
+    while True:
+        level = _kept(level.join(edges, level["id"] == edges["first"]).select(F.col("second").alias("id")).distinct(), "generation")
+        if not level.head(1):
+            break
+        depth += 1
+        if depth > most:
+            raise ValueError("the relationships have a cycle")
+        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
+    return out.groupBy("id").agg(F.max("depth").alias("generation"))
 
 
 def filter_pedigree(individuals: DataFrame, primary: bool = False, families_: Iterable[str] | None = None, ids: Iterable[str] | None = None, sex: str | None = None) -> DataFrame:
@@ -111,33 +127,51 @@ def graphviz(individuals: DataFrame, relationships: DataFrame) -> str:
 # ------------------------------------------------------------------ taxonomy: (id, parent, rank, name); the root's parent is -1 or null
 
 
-def lineage(nodes: DataFrame) -> DataFrame:
-    """(id, ancestor, steps) for every node and each of its ancestors, itself included."""
-    nodes.select("id", F.nullif("parent", F.lit(-1)).alias("parent")).createOrReplaceTempView("taxa_")
-    return nodes.sparkSession.sql("""
-        WITH RECURSIVE up(id, ancestor, steps) AS (
-            SELECT id, id, 0 FROM taxa_
-            UNION ALL
-            SELECT u.id, t.parent, u.steps + 1 FROM up u JOIN taxa_ t ON t.id = u.ancestor WHERE t.parent IS NOT NULL)
-        SELECT id, ancestor, steps FROM up""")
+_UP = """
+    WITH RECURSIVE up(id, ancestor, steps) AS (
+        SELECT id, id, 0 FROM {start}
+        UNION ALL
+        SELECT u.id, t.parent, u.steps + 1 FROM up u JOIN {taxa} t ON t.id = u.ancestor WHERE t.parent IS NOT NULL)
+    SELECT id, ancestor, steps FROM up"""
+
+
+def lineage(nodes: DataFrame, ids: Iterable[int] | None = None) -> DataFrame:
+    """(id, ancestor, steps) for the nodes asked for (or every node) and each of their ancestors, themselves included.
+
+    The rows are the nodes times their depth: Spark's limit on recursive rows
+    (``spark.sql.cteRecursionRowLimit``) bounds them.
+    """
+    taxa = nodes.select("id", F.nullif("parent", F.lit(-1)).alias("parent"))
+    start = taxa if ids is None else taxa.where(F.col("id").isin(list(ids)))
+    return nodes.sparkSession.sql(_UP, start=start, taxa=taxa)
+
+
+def _below(nodes: DataFrame, roots: Iterable[int]) -> DataFrame:
+    """Ids at or under the roots.
+
+    Every node looks at its parent, then at whatever that one looks at, so the number of
+    rounds is the logarithm of the depth, and a round holds every node once.
+    """
+    at = _kept(nodes.select("id", F.nullif("parent", F.lit(-1)).alias("up"), F.col("id").isin(list(roots)).alias("hit")), "taxa")
+    while at.where("up is not null and not hit").head(1):
+        over = at.select(F.col("id").alias("up"), F.when(~F.col("hit"), F.col("up")).alias("up2"), F.col("hit").alias("hit2"))
+        at = _kept(at.join(over, "up", "left").select("id", F.when(~F.col("hit"), F.col("up2")).alias("up"), (F.col("hit") | F.coalesce("hit2", F.lit(False))).alias("hit")), "taxa")
+    return at.where("hit").select("id").distinct()
 
 
 def subtree(nodes: DataFrame, roots: Iterable[int]) -> DataFrame:
     """The nodes at or under the roots."""
-    inside = lineage(nodes).where(F.col("ancestor").isin(list(roots))).select("id").distinct()
-    return nodes.join(inside, "id", "left_semi")
+    return nodes.join(_below(nodes, roots), "id", "left_semi")
 
 
 def subset(nodes: DataFrame, ids: Iterable[int]) -> DataFrame:
     """The nodes that are an id or an ancestor of one: the least tree over them."""
-    above = lineage(nodes).where(F.col("id").isin(list(ids))).select(F.col("ancestor").alias("id")).distinct()
-    return nodes.join(above, "id", "left_semi")
+    return nodes.join(lineage(nodes, ids).select(F.col("ancestor").alias("id")).distinct(), "id", "left_semi")
 
 
 def prune(nodes: DataFrame, roots: Iterable[int]) -> DataFrame:
     """The nodes not at or under the roots."""
-    inside = lineage(nodes).where(F.col("ancestor").isin(list(roots))).select("id").distinct()
-    return nodes.join(inside, "id", "left_anti")
+    return nodes.join(_below(nodes, roots), "id", "left_anti")
 
 
 def invalid(nodes: DataFrame) -> DataFrame:
