@@ -63,8 +63,9 @@ def test_contamination(spark, docs, corpus, bench, broadcast_rows):
 def test_decontaminate(spark, docs, corpus, bench):
     b = spark.createDataFrame(bench, "item_id long, text string")
     want = brute_hits([r[:2] for r in corpus], bench)
-    left = D.decontaminate(docs, b)
-    assert left.columns == docs.columns and left.count() == sum(not w[4] for w in want)
+    for rows in (2_000_000, 0):  # keys broadcast, and beyond the bound
+        left = D.decontaminate(docs, b, broadcast_rows=rows)
+        assert left.columns == docs.columns and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in left.collect()) == sorted((w[0] is None, w[0] or 0) for w in want if not w[4])
     cut = {(r["doc_id"], len(dwords(r["text"]))) for r in D.decontaminate(docs, b, remove="spans").collect()}
     assert cut == {(w[0], w[1] - w[2]) for w in want}
 
