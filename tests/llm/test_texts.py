@@ -185,6 +185,49 @@ def test_model_predicts_better_than_chance(spark):
     assert sum(r["score"] for r in held) > 0.98 * sum(r["base_score"] for r in held) * 1.05
 
 
+def test_blocks_of_a_tree():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n, node, bit, _, mark = X._huffman(rng.integers(1, 1000, 300).astype(float))
+    stop = np.cumsum(n)
+    for i in range(300):
+        path = node[stop[i] - n[i] : stop[i]]
+        heads = [path[d - d % X.LEVELS] for d in range(len(path))]
+        assert (mark[path] >> 3).tolist() == [int(h) for h in heads]
+    # No two nodes share a block and a place, and place 0 is free.
+    assert len(set(mark.tolist())) == 299 and (mark & 7).min() == 1
+
+
+def test_held_out_texts_cost_less_than_the_base(spark):
+    # A word tells the next but for one in ten, so that contexts are worth having.
+    rng = random.Random(5)
+
+    def text():
+        at, out = rng.randrange(400), []
+        for _ in range(120):
+            out.append(f"word{at}")
+            at = rng.randrange(400) if rng.random() < 0.1 else (at * 7 + 3) % 400
+        return " ".join(out)
+
+    got = X.score(spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string")).where("held_out").collect()
+    assert got and sum(r["score"] for r in got) > 0.5 * sum(r["base_score"] for r in got)
+
+
+def test_half_of_the_words_seen_once_are_spelled_in_training():
+    import numpy as np
+    import pyarrow as pa
+
+    text = pa.array([" ".join(f"only{i}" for i in range(200)) + " twice twice"])
+    words = X.words_of(text, lower=True)
+    h, n = np.unique(words.hash, return_counts=True)
+    code = X.Code.of(h, n.astype(float), np.ones(len(h), bool), 0.0, 1.0, np.ones(256))
+    found = code.lookup.find(words.hash)
+    assert 60 < code.held_back.sum() < 140
+    later, now = (X.symbols_of(words, code, found, training) for training in (False, True))
+    assert (later.symbol < code.escape).sum() == 202 and (now.symbol == code.escape).sum() == code.held_back.sum()
+
+
 def test_every_decision_is_learned_from():
     import numpy as np
 

@@ -11,7 +11,8 @@ corrects the sum by its size.
 
 Training is online within each input partition: a stretch of text is predicted from what came
 before it there, weights and map are updated by all its decisions (weights by gradient steps),
-then the stretch is counted.  Predictions are renewed from the counts whenever these have doubled
+then the stretch is counted.  A context's counts for a node and the nodes up to two levels below
+it share a block of eight slots.  Predictions are renewed from the counts whenever these have doubled
 (past STEP decisions: every STEP), so that small partitions learn too.  Tables of all partitions
 are added up, weights averaged by the decisions of their gate.  All counts cover all training texts.  Tables and word tree
 grow with the counted words up to what each worker can hold (MOST_BITS, MOST_WORDS); past that
@@ -38,16 +39,23 @@ BITS = (19, 19)
 MOST_BITS = 22
 #: Words in the tree for a small corpus, and the most.
 LEAST_WORDS, MOST_WORDS = 1 << 18, 1 << 19
-GATES = 36
+GATES = 64
 MAP_STEPS = 48
+#: How sure a context is, by the number of binary digits of its count.
+CONFIDENCE = np.array([0, 1, 2, 3, 4, 4, 5, 5, 6, 6] + [7] * 24, dtype=np.int16)
 SEGMENT = 1 << 12
 BLOCK = 1 << 15
 #: Decisions before predictions are first made from the counts, and the most from one renewal to the next.
 FIRST, STEP = 1 << 10, 1 << 23
+#: Levels of a tree whose counts lie together.
+LEVELS = 3
 
 
-def _huffman(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths of the paths to each symbol, their nodes and bits one after the other, and each node's weights on both sides."""
+def _huffman(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of the paths to each symbol, their nodes and bits one after the other, each node's weights on both sides, and its mark.
+
+    A mark is eight times the node at the head of a node's block of LEVELS levels, and its place there (1 for the head).
+    """
     n = len(weight)
     heap = [(w, s) for s, w in enumerate(weight.tolist())]
     heapq.heapify(heap)
@@ -59,8 +67,13 @@ def _huffman(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         sides[i] = wa, wb
         heapq.heappush(heap, (wa + wb, n + i))
     depth = np.zeros(2 * n - 1, np.int32)
+    mark = np.zeros(n - 1, np.int32)
+    mark[n - 2] = (n - 2) * 8 + 1
     for i in range(n - 3, -1, -1):
-        depth[n + i] = depth[up[n + i]] + 1
+        above = up[n + i]
+        depth[n + i] = depth[above] + 1
+        over = mark[above - n]
+        mark[i] = over + (over & 7) + side[n + i] if depth[n + i] % LEVELS else i * 8 + 1
     length = depth[up[:n]] + 1
     stop = np.cumsum(length)
     node, bit = np.zeros(stop[-1], np.int32), np.zeros(stop[-1], np.uint8)
@@ -69,7 +82,7 @@ def _huffman(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         node[put[live]], bit[put[live]] = up[at[live]] - n, side[at[live]]
         at[live], put[live] = up[at[live]], put[live] - 1
         live = live[at[live] < 2 * n - 2]
-    return length, node, bit, sides
+    return length, node, bit, sides, mark
 
 
 class Lookup:
@@ -117,6 +130,7 @@ class Code:
     """Symbols: frequent words (``symbol`` of a place in ``lookup``, -1 if spelled), escape, end of text, bytes.
 
     Symbol s is the entries offset[s] to offset[s] + length[s], each a node and a bit (its lowest).
+    Words ``held_back`` (half of those seen once) are spelled in training, as words never seen are later.
     """
 
     lookup: Lookup
@@ -126,19 +140,23 @@ class Code:
     offset: np.ndarray
     entry: np.ndarray
     stretch: np.ndarray
+    mark: np.ndarray
+    held_back: np.ndarray
     bits: tuple[int, int] = BITS
 
     @classmethod
     def of(cls, words: np.ndarray, counts: np.ndarray, in_tree: np.ndarray, rare: float, ends: float, bytes_: np.ndarray) -> "Code":
         order = np.argsort(words)
         words, counts, in_tree = words[order], counts[order], in_tree[order]
-        n1, node1, bit1, sides1 = _huffman(np.concatenate([counts[in_tree], [rare + 1, ends + 1]]))
-        n2, node2, bit2, sides2 = _huffman(bytes_ + 1)
+        held_back = in_tree & (counts == 1) & (words >> np.uint64(7) & np.uint64(1) == 1)
+        rare += held_back.sum()
+        n1, node1, bit1, sides1, mark1 = _huffman(np.concatenate([counts[in_tree], [rare + 1, ends + 1]]))
+        n2, node2, bit2, sides2, mark2 = _huffman(bytes_ + 1)
         length = np.concatenate([n1, n2]).astype(np.int32)
         sides = np.concatenate([sides1, sides2]) + 0.5
         entry = np.concatenate([node1, node2 + len(sides1)]).astype(np.int32) * 2 + np.concatenate([bit1, bit2])
         symbol = np.where(in_tree, np.cumsum(in_tree) - 1, -1).astype(np.int32)
-        return cls(Lookup(words), symbol, np.log10(counts + 1), length, (np.cumsum(length) - length).astype(np.int32), entry.astype(np.int32), np.log(sides[:, 1] / sides[:, 0]).astype(np.float32))
+        return cls(Lookup(words), symbol, np.log10(counts + 1), length, (np.cumsum(length) - length).astype(np.int32), entry.astype(np.int32), np.log(sides[:, 1] / sides[:, 0]).astype(np.float32), np.concatenate([mark1, mark2 + len(sides1) * 8]).astype(np.int32), held_back)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"entry": pack(self.entry), "length": pack(self.length), "offset": None, "symbol": pack(self.symbol)}
@@ -162,11 +180,13 @@ class Symbols:
     first: np.ndarray
 
 
-def symbols_of(words: Words, code: Code, found: np.ndarray) -> Symbols:
+def symbols_of(words: Words, code: Code, found: np.ndarray, training: bool = False) -> Symbols:
     """``found``: the words' places in the code's lookup."""
     n, n_docs = len(words.hash), len(words)
     place = np.where(found >= 0, np.append(code.symbol, -1).take(found, mode="wrap"), -1)
     known = place >= 0
+    if training:
+        known &= ~np.append(code.held_back, False).take(found, mode="wrap")
     spelled = np.where(known, 0, words.end - words.start)
     doc = np.repeat(np.arange(n_docs), np.diff(words.first))
     unit = np.arange(n) + doc
@@ -219,13 +239,17 @@ def decisions(s: Symbols, code: Code) -> Iterator[tuple[np.ndarray, list[np.ndar
         at += count_up[: len(at)] if len(at) <= len(count_up) else np.arange(len(at), dtype=np.int32)
         entry = code.entry.take(at)
         node, bit = entry >> 1, (entry & 1).astype(np.uint8)
-        salt = node.astype(np.uint32) * np.uint32(0x27D4EB2F)
+        mark = code.mark.take(node)
+        salt = (mark >> 3).astype(np.uint32) * np.uint32(0x27D4EB2F)
+        mark &= 7
+        place = mark.view(np.uint32)
         slots = []
         for c, b in zip(s.contexts, code.bits, strict=True):
             x = np.repeat(c[lo : lo + SEGMENT], n)
             x ^= salt
             x *= np.uint32(0x2C1B3C6D)
             x >>= np.uint32(32 - b)
+            x ^= place
             slots.append(x.astype(np.intp))
         texts = np.arange(np.searchsorted(s.first, lo, side="right") - 1, np.searchsorted(s.first, min(lo + SEGMENT, len(s.symbol)), side="left"))
         yield node, slots, bit, (stop - n)[np.maximum(s.first[texts] - lo, 0)], texts
@@ -245,7 +269,7 @@ class Model:
     def start(self, base: np.ndarray, bits: tuple[int, int]) -> None:
         self.base, self.bits = base, bits
         self.counts = [np.zeros((1 << b, 2), dtype=np.uint32) for b in bits]
-        self.told = [np.zeros(1 << b, dtype=np.int32) for b in bits]
+        self.told = [np.zeros(1 << b, dtype=np.int16) for b in bits]
         # Slots counted since the last renewal, or None if too many to list.
         self.touched: list[list | None] = [None for _ in bits]
         self.weights = [np.full(GATES, w, dtype=np.float32) for w in (1.0, 0.1, 0.1)]
@@ -256,14 +280,22 @@ class Model:
     def refresh(self) -> None:
         """Predictions and confidences from the counts."""
         # One number holds both, so that one look-up gets them: the prediction in steps of
-        # 2**-20, its lowest three bits the confidence.
+        # 2**-8 (up to 15.9, past what ``cost`` lets count), its lowest three bits the confidence.
         for k, (c, told) in enumerate(zip(self.counts, self.told, strict=True)):
-            some = slice(None) if self.touched[k] is None else np.unique(np.concatenate([*self.touched[k], np.zeros(0, np.intp)]))
+            if self.touched[k] is None:
+                pieces = (slice(i, i + BLOCK) for i in range(0, len(c), BLOCK))
+            else:
+                fresh = np.zeros(len(c), dtype=bool)
+                for i in self.touched[k]:
+                    fresh[i] = True
+                pieces = [np.flatnonzero(fresh)]
             self.touched[k] = []
-            n = c[some].astype(np.float32)
-            stretch = np.log((n[:, 1] + np.float32(0.4)) / (n[:, 0] + np.float32(0.4)))
-            sure = np.minimum(5, np.log2(n[:, 0] + n[:, 1] + 1) / 2).astype(np.int32)
-            told[some] = (stretch * np.float32(1 << 20)).astype(np.int32) & ~7 | sure
+            for some in pieces:
+                n = c[some].astype(np.float32)
+                stretch = np.log((n[:, 1] + np.float32(0.4)) / (n[:, 0] + np.float32(0.4)))
+                # The exponent of a floating-point number is the logarithm sought.
+                sure = CONFIDENCE.take(((n[:, 0] + n[:, 1] + np.float32(1)).view(np.int32) >> 23) - 127)
+                told[some] = (np.clip(stretch, np.float32(-15.9), np.float32(15.9)) * np.float32(1 << 11)).astype(np.int16) & ~7 | sure
         middle = (np.arange(MAP_STEPS) + 0.5) * 0.375 - 9
         hits = self.map
         p = (hits[:, 1] + 20 / (1 + np.exp(-middle))) / (hits.sum(axis=1) + 20)
@@ -271,8 +303,8 @@ class Model:
 
     def mix(self, slots: list[np.ndarray], node: np.ndarray):
         told = [t.take(i) for t, i in zip(self.told, slots, strict=True)]
-        inputs = [self.base.take(node), *(t * np.float32(2.0**-20) for t in told)]
-        gate = ((told[0] & 7) * 6 + (told[1] & 7)).astype(np.intp)
+        inputs = [self.base.take(node), *(t * np.float32(2.0**-11) for t in told)]
+        gate = ((told[0] & 7) << 3 | told[1] & 7).astype(np.intp)
         dot = self.weights[0].take(gate)
         dot *= inputs[0]
         for w, x in zip(self.weights[1:], inputs[1:], strict=True):
@@ -322,16 +354,11 @@ class Model:
 
     def count(self, slots, bit) -> None:
         for k, (c, i) in enumerate(zip(self.counts, slots, strict=True)):
-            i <<= 1
-            i += bit
-            if 8 * len(i) < c.size:
-                used, n = np.unique(i, return_counts=True)
-                c.reshape(-1)[used] += n.astype(np.uint32)
-                if self.touched[k] is not None:
-                    self.touched[k].append(used >> 1)
-            else:
-                c += np.bincount(i, minlength=2 * len(c)).astype(np.uint32).reshape(-1, 2)
-                self.touched[k] = None
+            if self.touched[k] is not None:
+                self.touched[k].append(i)
+                if 8 * sum(map(len, self.touched[k])) > len(c):
+                    self.touched[k] = None
+            np.add.at(c.reshape(-1), 2 * i + bit, np.uint32(1))
 
     def parts(self) -> Iterator[tuple[int, bytes]]:
         """Blocks of numbers that add up over partitions: block -1 has the weights and the map, the others counts."""
@@ -384,7 +411,6 @@ class Trainer:
 
     def __init__(self, code: Code):
         self.model = Model(code)
-        self.held: list = []
         self.since, self.due, self.counted = 0, FIRST, 0
 
     def add(self, node, slots, bit) -> None:
@@ -393,24 +419,15 @@ class Trainer:
             part = slice(at, min(len(bit), at + self.due - self.since))
             mine = [s[part] for s in slots]
             self.model.learn(mine, node[part], bit[part])
-            self.held.append((mine, bit[part]))
+            self.model.count(mine, bit[part])
             self.since += part.stop - at
             at = part.stop
             if self.since == self.due:
-                self.count()
                 self.model.refresh()
                 self.counted += self.due
                 self.since, self.due = 0, min(self.counted, STEP)
-            elif len(self.held) == 64:
-                self.count()
-
-    def count(self) -> None:
-        if self.held:
-            self.model.count([np.concatenate([h[0][k] for h in self.held]) for k in range(len(self.model.counts))], np.concatenate([h[1] for h in self.held]))
-            self.held.clear()
 
     def end(self) -> Model:
-        self.count()
         return self.model
 
 
@@ -447,7 +464,7 @@ def _train(code):
         for batch in batches:
             for lo, hi in chunks(batch.column(0), 1 << 20):
                 words = words_of(batch.column(0).slice(lo, hi - lo), lower=True)
-                s = symbols_of(words, code.value, code.value.lookup.find(words.hash))
+                s = symbols_of(words, code.value, code.value.lookup.find(words.hash), training=True)
                 for node, slots, bit, _, _ in decisions(s, code.value):
                     trainer.add(node, slots, bit)
         model = trainer.end()
@@ -528,8 +545,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_mod: in
     top_words, tree_words = (most_words if w is None else w for w in (top_words, tree_words))
     top = words.orderBy(F.desc("c"), "h").limit(top_words).toArrow()
     top_h, top_c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy().astype(np.float64)
-    # Words seen once stand for those never seen: they are spelled.
-    in_tree = (top_c > 1) & (np.arange(len(top_c)) < tree_words)
+    in_tree = np.arange(len(top_c)) < tree_words
     code = Code.of(top_h, top_c, in_tree, float(n_words - top_c[in_tree].sum()), float(n_ends), bytes_.astype(np.float64))
     code.bits = (bits, bits)
 
