@@ -96,6 +96,17 @@ def test_greedy_cnv_matches_one_pass(spark):
     assert sum(r["hit"] for r in hits.collect()) == len(want)
 
 
+def test_cluster_counts_without_pairs(spark):
+    rng = random.Random(6)
+    places = [(i, *x) for i, x in enumerate(random_intervals(rng, 80))] + [(80, "a", 0, 0), (81, "a", 0, 0), (82, None, 1, 2), (83, "a", None, 2)]
+    df = spark.createDataFrame(places, "row_id long, seq string, start int, end int")
+    near = lambda a, b: None not in (*a, *b) and a[0] != b[0] and a[1] == b[1] and a[2] <= b[3] + 5 and b[2] <= a[3] + 5
+    want = {a[0]: sum(near(a, b) for b in places) for a in places}
+    for width in (3, 1 << 16):
+        got = neighbours.cluster_count(df, 5, width).collect()
+        assert len(got) == len(places) and {r["row_id"]: r["cluster"] for r in got} == want
+
+
 def test_breakends(spark):
     schema = "seq string, start int, ref string, alt string, svtype string, end int, svlen int, chr2 string, ct string"
     rows = [("c", 10, "A", "<INV>", "INV", 50, None, None, None), ("c", 10, "A", "<INS>", "INS", 11, 30, None, None), ("c", 10, "A", "<TRA>", "TRA", 99, None, "d", "3to5"), ("c", 5, "A" * 60, "A", None, None, None, None, None), ("c", 5, "A", "T", None, None, None, None, None), ("c", 5, "A", "<DUP>", "DUP", 9, None, None, None)]

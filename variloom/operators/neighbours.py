@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals
@@ -52,15 +52,31 @@ def remove_overlapping(df: DataFrame, tie: tuple[str, ...] = ()) -> DataFrame:
     return dealt.mapInPandas(keep, dealt.schema).drop("run_")
 
 
-def cluster_count(df: DataFrame, distance: int = 5, width: int = intervals.DEFAULT_WIDTH) -> DataFrame:
-    """``df`` (with a row_id) and ``cluster``: how many other variant rows lie within ``distance``.
+def cluster_count(df: DataFrame, distance: int = 5, width: int = 1 << 16) -> DataFrame:
+    """``df`` (with a row_id that no other row has) and ``cluster``: how many other variant rows lie within ``distance``.
 
-    Of two rows, the earlier must not end before the later starts less the distance.
+    Of two rows, the earlier must not end before the later starts less the distance.  No pairs
+    are made: the rows near one are those that start by its end plus the distance, less those
+    that end before its start less the distance.  Both are running counts, taken in bins of
+    ``width`` positions and added to the counts of the bins before.  A row without a sequence or a place has 0.
     """
-    wide = df.select("seq", F.col("start").alias("start"), (F.col("end") + distance + 1).alias("end"), F.col("row_id"))
-    pairs = intervals.overlap_join(wide, wide.withColumnRenamed("row_id", "other_"), width).where("row_id != other_")
-    # Overlap of [start, end + d + 1): the earlier row reaches the start of the later.
-    counts = pairs.groupBy("row_id").agg(F.count("*").alias("cluster"))
+    start, end = F.col("start").cast("long"), F.col("end").cast("long")
+
+    # At one place starts come first, then the questions, then ends.
+    def event(at: Column, turn: int, sign: int) -> Column:
+        return F.struct(at.alias("at_"), F.lit(turn).alias("turn_"), F.lit(sign).alias("sign_"))
+
+    events = df.where(start.isNotNull() & end.isNotNull())
+    events = events.select("seq", "row_id", F.explode(F.array(event(start, 0, 0), event(end + distance, 1, 1), event(start - distance, 1, -1), event(end, 2, 0))).alias("e"))
+    events = events.select("seq", F.floor(F.col("e.at_") / width).cast("long").alias("bin_"), "row_id", "e.*")
+    n_start, n_end = F.count_if(F.col("turn_") == 0), F.count_if(F.col("turn_") == 2)
+    before = Window.partitionBy("seq").orderBy("bin_").rowsBetween(Window.unboundedPreceding, -1)
+    totals = events.groupBy("seq", "bin_").agg(n_start.alias("s_"), n_end.alias("e_"))
+    totals = totals.select("seq", "bin_", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("s_", "e_")))
+    here = Window.partitionBy("seq", "bin_").orderBy("at_", "turn_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = events.withColumns({"in_s_": n_start.over(here), "in_e_": n_end.over(here)}).where("turn_ = 1").join(totals, ["seq", "bin_"])
+    near = F.when(F.col("sign_") > 0, F.col("in_s_") + F.col("s_")).otherwise(-F.col("in_e_") - F.col("e_"))
+    counts = asked.groupBy("row_id").agg((F.sum(near) - 1).alias("cluster"))
     return df.join(counts, "row_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(0)))
 
 

@@ -124,7 +124,7 @@ WITH v AS (SELECT *, seq || ':' || start || '-' || stop AS row_id FROM {loci})
 SELECT a.row_id, count(b.row_id) AS cluster FROM v a LEFT JOIN v b ON a.seq = b.seq AND a.row_id <> b.row_id AND a.start <= b.stop + 5 AND b.start <= a.stop + 5 GROUP BY a.row_id""")
 def window_cluster_count(spark, sf):
     loci = frame(spark, sf, "loci")
-    return neighbours.cluster_count(loci.withColumn("row_id", F.concat("seq", F.lit(":"), "start", F.lit("-"), "end")), 5, 64).select("row_id", F.col("cluster").cast("long").alias("cluster"))
+    return neighbours.cluster_count(loci.withColumn("row_id", F.concat("seq", F.lit(":"), "start", F.lit("-"), "end")), 5).select("row_id", F.col("cluster").cast("long").alias("cluster"))
 
 
 @query("SELECT a.seq, a.start, a.stop, EXISTS (SELECT 1 FROM {regions} b WHERE a.seq = b.seq AND a.start - 30 < b.stop AND a.stop + 30 > b.start) AS loose FROM {loci} a")
