@@ -39,3 +39,11 @@ def test_entry_runs(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_places_beyond_int(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("l_partkey", F.col("l_partkey") + 1_400_000).write.parquet(f"{tmp_path}/lineitem.parquet")
+    near, far = (sorted(map(tuple, QUERIES["records_out_of_order"](spark, d).collect())) for d in (sf, str(tmp_path)))
+    assert far == [(seq, start + 14_000_000, stop + 14_000_000) for seq, start, stop in near] and near

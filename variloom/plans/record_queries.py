@@ -247,7 +247,7 @@ def filter_cnv_records(spark, sf):
 def records_out_of_order(spark, sf):
     from ..operators import neighbours
 
-    df = frame(spark, sf, "loci").withColumn("place", F.col("end") * 10000 + F.col("start"))
+    df = frame(spark, sf, "loci").withColumn("place", F.col("end").cast("long") * 10000 + F.col("start"))
     return neighbours.unsorted(df, "place").select("seq", "start", F.col("end").alias("stop"))
 
 
