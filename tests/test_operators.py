@@ -275,3 +275,29 @@ def test_large_taxonomy_and_inbred_pedigree(spark):
     # Everyone is a child of the two before: the paths are as many as Fibonacci numbers.
     links = spark.createDataFrame([(i - k, i, P.PARENT) for i in range(2, 60) for k in (1, 2)] + [(1, None, P.PARENT)], "first int, second int, type string")
     assert {r["id"]: r["generation"] for r in P.generations(people, links).collect()} == {i: max(0, i - 1) for i in range(60)}
+
+
+def test_lineage_of_many_rows_and_odd_nodes(spark):
+    from pyspark.sql import functions as F
+
+    from variloom.operators import pedigree as P
+
+    columns = "id int, parent int"
+    nodes = spark.range(1, 70_001).select(F.col("id").cast("int").alias("id"), F.when(F.col("id") == 1, -1).otherwise(F.floor(F.col("id") / 2)).cast("int").alias("parent"))
+    got = P.lineage(nodes)
+    assert got.dtypes == [("id", "int"), ("ancestor", "int"), ("steps", "int")]
+    # A node's depth is the length of its number in bits: more than a million rows.
+    assert got.count() == got.distinct().count() == sum(i.bit_length() for i in range(1, 70_001))
+    assert got.where("ancestor != shiftright(id, steps)").count() == 0
+    chain = P.lineage(spark.createDataFrame([(i, i - 1) for i in range(150)], columns))
+    assert sorted(map(tuple, chain.collect())) == sorted((i, a, i - a) for i in range(150) for a in range(i + 1))
+    # A root without parent, a parent that is no node, a node given twice, a null, a cycle (with a node given twice) beside.
+    odd = [(1, None), (2, 1), (3, 9), (4, 2), (4, 2), (5, 4), (None, 2), (20, 21), (20, 21), (21, 20), (22, 20)]
+    want = [(1, 1, 0), (2, 2, 0), (2, 1, 1), (3, 3, 0), (3, 9, 1), *[(4, 4, 0)] * 2, *[(4, 2, 1)] * 4, *[(4, 1, 2)] * 4, (5, 5, 0), *[(5, 4, 1)], *[(5, 2, 2)] * 2, *[(5, 1, 3)] * 2, (None, None, 0)]
+    key = lambda r: [(x is None, x or 0) for x in r]
+    tree = [r for r in odd if (r[0] or 0) < 20]
+    assert sorted(map(tuple, P.lineage(spark.createDataFrame(tree, columns)).collect()), key=key) == sorted(want, key=key)
+    assert sorted(map(tuple, P.lineage(spark.createDataFrame(odd, columns), [3, 5]).collect())) == sorted(r for r in want if r[0] in (3, 5))
+    for ids in (None, [22]):
+        with pytest.raises(ValueError, match="cycle"):
+            P.lineage(spark.createDataFrame(odd, columns), ids)
