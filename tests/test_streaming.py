@@ -53,3 +53,39 @@ def test_near_pairs(spark, tmp_path):
     rows = [[("a", 5, 6), ("a", 12, 13), ("a", 100, 101)]]
     got = run(spark, tmp_path, rows, PLACES, lambda df: O.near_pairs(O.with_lateness(df, 50), O.with_lateness(df, 50), 10))
     assert {(r["a_start"], r["b_start"]) for r in got} == {(5, 5), (5, 12), (12, 5), (12, 12), (100, 100)}
+
+
+def test_near_pairs_in_a_large_sequence(spark, tmp_path):
+    """Rows look at their neighbours only; all pairs of the sequence would be 1.6 billion."""
+    from pyspark.sql import functions as F
+
+    places = spark.range(40_000).select(F.lit("a").alias("seq"), (F.col("id") * 10).cast("int").alias("start"))
+    for side, shift in (("a", 0), ("b", 7)):
+        places.withColumn("start", F.col("start") + shift).write.parquet(f"{tmp_path}/{side}")
+    a, b = (O.with_lateness(spark.readStream.schema(places.schema).parquet(f"{tmp_path}/{side}"), 1_000_000) for side in "ab")
+    q = O.near_pairs(a, b, 7).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(60)
+    finally:
+        q.stop()
+    # b is 7 after its own a and 3 before the next one.
+    got = sorted((r["a_start"], r["b_start"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == sorted([(10 * i, 10 * i + 7) for i in range(40_000)] + [(10 * i, 10 * i - 3) for i in range(1, 40_000)])
+
+
+@pytest.mark.parametrize("distance", [0, 1, 4])
+def test_near_pairs_at_tile_borders(spark, tmp_path, distance):
+    rows = [[("a", s, s + 1) for s in range(12)] + [("b", 3, 4), (None, 3, 4)], [("a", 5, 6)]]
+    got = run(spark, tmp_path, rows, PLACES, lambda df: O.near_pairs(O.with_lateness(df, 50), O.with_lateness(df, 50), distance))
+    starts = [*range(12), 5]
+    want = sorted([(s, t) for s in starts for t in starts if abs(s - t) <= distance] + [(3, 3)])
+    assert sorted((r["a_start"], r["b_start"]) for r in got) == want
+
+
+def test_append_streams_are_written_to_files(spark, sf):
+    from variloom.plans import comparisons as C
+
+    got = C.stream_near_pairs(spark, sf)
+    assert got.inputFiles() and got.count()
+    none = C._run(O.with_lateness(C._stream(spark.range(3).selectExpr("cast(id as int) AS start")), 10).where("start < 0"), "append")
+    assert none.count() == 0 and none.columns == ["start", "ptime"]

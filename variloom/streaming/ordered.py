@@ -59,11 +59,17 @@ def drop_repeats(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def near_pairs(a: DataFrame, b: DataFrame, distance: int) -> DataFrame:
-    """Rows of two streams (with watermarks on ``ptime``) of one sequence within ``distance``; the watermark lets old rows go."""
-    left = a.select(F.col("seq").alias("a_seq"), F.col("ptime").alias("a_time"), F.col("start").alias("a_start"))
-    right = b.select(F.col("seq").alias("b_seq"), F.col("ptime").alias("b_time"), F.col("start").alias("b_start"))
-    near = F.expr(f"a_seq = b_seq AND a_time >= b_time - INTERVAL {distance} SECONDS AND a_time <= b_time + INTERVAL {distance} SECONDS")
-    return left.join(right, near)
+    """Rows of two streams (with watermarks on ``ptime``) of one sequence within ``distance``; the watermark lets old rows go.
+
+    They meet in tiles of 2 * ``distance`` + 1 seconds, so that a row looks at its neighbours only, not at
+    all held rows of its sequence: a row of ``a`` is in its own tile, one of ``b`` in each (two, or one) that it can reach.
+    """
+    reach = distance * 1_000_000
+    tile = lambda shift: F.floor((F.unix_micros("ptime") + shift) / F.lit(2 * abs(reach) + 1_000_000))
+    left = a.select(F.col("seq").alias("a_seq"), F.col("ptime").alias("a_time"), F.col("start").alias("a_start"), tile(0).alias("a_tile"))
+    right = b.select(F.col("seq").alias("b_seq"), F.col("ptime").alias("b_time"), F.col("start").alias("b_start"), F.explode(F.sequence(tile(-reach), tile(reach))).alias("b_tile"))
+    near = F.expr(f"a_seq = b_seq AND a_tile = b_tile AND a_time >= b_time - INTERVAL {distance} SECONDS AND a_time <= b_time + INTERVAL {distance} SECONDS")
+    return left.join(right, near).drop("a_tile", "b_tile")
 
 
 def density_filter(df: DataFrame, distance: int) -> DataFrame:
